@@ -6,7 +6,7 @@ and its check start from the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 VIEWS: dict[str, str] = {
     "fx_vendors": """
@@ -71,6 +71,49 @@ SELECT s_suppkey AS id, s_name AS raw_name,
          ELSE concat('Distribuidora ', substr(concat(CAST(900000000 + s_suppkey AS STRING), '-',
                      CAST(s_suppkey % 10 AS STRING)), 6, 4), ' Ltda') END AS name
 FROM supplier""",
+    "fx_lines": """
+SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS invoice_id, l_orderkey,
+       l_suppkey AS vendor_id, line_number, p_name AS product_name,
+       CASE WHEN l_partkey % 10 <> 0 THEN CAST(l_partkey AS STRING) END AS sku,
+       l_quantity AS quantity, l_extendedprice / l_quantity AS unit_price, l_extendedprice AS line_total,
+       CASE l_orderkey % 13 WHEN 0 THEN 'missing' WHEN 1 THEN 'null' WHEN 2 THEN 'word' WHEN 3 THEN 'quoted'
+         ELSE 'number' END AS quantity_as
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey, l_suppkey
+        ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax,
+                 l_returnflag, l_linestatus) AS INT) AS line_number
+      FROM lineitem) x
+JOIN part ON l_partkey = p_partkey""",
+    "fx_heads": """
+SELECT i.invoice_id, o_orderkey, i.vendor_id,
+       CASE o_orderkey % 17 WHEN 3 THEN '' ELSE s_name END AS vendor_name,
+       concat(CAST(900000000 + s_suppkey AS STRING), '-', CAST(s_suppkey % 10 AS STRING)) AS nit,
+       CASE o_orderkey % 19 WHEN 4 THEN 'null' WHEN 5 THEN 'missing' ELSE 'given' END AS store_as,
+       CASE o_orderkey % 4 WHEN 0 THEN c_name WHEN 1 THEN lower(c_name) WHEN 2 THEN substr(c_name, 10)
+         ELSE concat('Tienda ', n_name) END AS store_name,
+       concat('FAC-', CAST(o_orderkey AS STRING)) AS invoice_number,
+       CASE o_orderkey % 23 WHEN 1 THEN 'soon' WHEN 2 THEN NULL ELSE substr(CAST(o_orderdate AS STRING), 1, 10) END
+         AS invoice_date,
+       CASE o_orderkey % 29 WHEN 0 THEN 0.0 ELSE CAST(i.items_cents AS DOUBLE) / 100 END AS subtotal,
+       CASE o_orderkey % 31 WHEN 1 THEN 0.0
+         ELSE CAST(i.items_cents * CASE WHEN o_orderkey % 11 = 0 THEN 105 ELSE 100 END AS DOUBLE) / 10000 END AS total,
+       CASE o_orderkey % 37 WHEN 1 THEN NULL ELSE CAST(70 + o_orderkey % 30 AS DOUBLE) / 100 END AS confidence,
+       o_orderstatus = 'O' AS sent_twice
+FROM (SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS invoice_id,
+             l_orderkey, l_suppkey AS vendor_id,
+             CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS items_cents
+      FROM lineitem JOIN part ON l_partkey = p_partkey
+      GROUP BY l_orderkey, l_suppkey) i
+JOIN orders ON i.l_orderkey = o_orderkey
+JOIN supplier ON i.vendor_id = s_suppkey
+JOIN customer ON o_custkey = c_custkey
+JOIN nation ON c_nationkey = n_nationkey""",
+    "fx_files": """
+SELECT o_orderkey, concat('file-', CAST(o_orderkey AS STRING)) AS id,
+       concat('scan ', CAST(o_orderkey AS STRING), '.', CASE o_orderkey % 7 WHEN 0 THEN 'pdf' WHEN 1 THEN 'JPG'
+         WHEN 2 THEN 'jpeg' WHEN 3 THEN 'png' WHEN 4 THEN 'webp' WHEN 5 THEN 'gif' ELSE 'docx' END) AS name,
+       CAST(round(o_totalprice * 50) AS BIGINT) AS size, o_orderdate AS modified_at,
+       concat('folder-', o_orderpriority) AS folder_id
+FROM orders""",
 }
 
 _BASE = ["nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"]
@@ -90,6 +133,43 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **used)
 
 
+def extraction_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extraction files ``(file_id, extraction)``: one JSON text per invoice, some sent twice.
+
+    Built from ``fx_heads`` and ``fx_lines``, with the traps those views describe.
+    """
+    text = lambda c: F.coalesce(F.concat(F.lit('"'), F.col(c), F.lit('"')), F.lit("null"))
+    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    quantity = (
+        F.when(F.col("quantity_as") == "missing", "")
+        .when(F.col("quantity_as") == "null", ',"quantity":null')
+        .when(F.col("quantity_as") == "word", ',"quantity":"x"')
+        .when(F.col("quantity_as") == "quoted", F.concat(F.lit(',"quantity":"'), number("quantity"), F.lit('"')))
+        .otherwise(F.concat(F.lit(',"quantity":'), number("quantity")))
+    )
+    line = F.concat(
+        F.lit('{"product_name":'), text("product_name"), F.lit(',"sku":'), text("sku"), quantity,
+        F.lit(',"unit_price":'), number("unit_price"), F.lit(',"line_total":'), number("line_total"), F.lit("}"))
+    lines = view(spark, sf_dir, "fx_lines").groupBy("invoice_id").agg(
+        F.array_sort(F.collect_list(F.struct("line_number", line.alias("json")))).alias("lines"))
+    store = (
+        F.when(F.col("store_as") == "null", ',"store":null').when(F.col("store_as") == "missing", "")
+        .otherwise(F.concat(F.lit(',"store":{"name":'), text("store_name"), F.lit(',"address":null}')))
+    )
+    confidence = F.coalesce(F.concat(F.lit(',"confidence":'), F.col("confidence").cast("string")), F.lit(""))
+    head = F.concat(
+        F.lit('{"vendor":{"name":'), text("vendor_name"), F.lit(',"nit":'), text("nit"), F.lit("}"), store,
+        F.lit(',"invoice_number":'), text("invoice_number"), F.lit(',"invoice_date":'), text("invoice_date"),
+        F.lit(',"items":['), F.array_join(F.transform("lines", lambda x: x["json"]), ","), F.lit("]"),
+        F.lit(',"subtotal":'), number("subtotal"), F.lit(',"total":'), number("total"), confidence, F.lit("}"))
+    copies = F.when(F.col("sent_twice"), F.array(F.lit("a-"), F.lit("b-"))).otherwise(F.array(F.lit("a-")))
+    return (
+        view(spark, sf_dir, "fx_heads").join(lines, "invoice_id")
+        .select(F.explode(copies).alias("copy"), "invoice_id", head.alias("extraction"))
+        .select(F.concat("copy", "invoice_id").alias("file_id"), "extraction")
+    )
+
+
 def with_views(sql: str) -> str:
     """Prefix a check statement with the reshaped tables it names."""
     ctes = [f"{name} AS ({body})" for name, body in VIEWS.items() if name in sql]

@@ -55,20 +55,10 @@ EVENT_TYPES = [
 ]
 LOG_STATUSES = ["success", "error", "warning", "info"]
 
-# Items stay string maps: only a map tells a missing key from an explicit null.
-EXTRACTION = T.StructType([
-    T.StructField("vendor", _table(
-        name=T.StringType(), nit=T.StringType(), address=T.StringType(), phone=T.StringType())),
-    T.StructField("store", _table(name=T.StringType(), address=T.StringType())),
-    T.StructField("invoice_number", T.StringType()),
-    T.StructField("invoice_date", T.StringType()),
-    T.StructField("due_date", T.StringType()),
-    T.StructField("items", T.ArrayType(T.MapType(T.StringType(), T.StringType()))),
-    T.StructField("subtotal", T.StringType()),
-    T.StructField("tax", T.StringType()),
-    T.StructField("total", T.StringType()),
-    T.StructField("confidence", T.StringType()),
-])
+# The extraction record is read in two steps, because only a map tells a missing
+# key from an explicit null: first these maps, then the typed record below.
+TEXT_MAP = T.MapType(T.StringType(), T.StringType())
+TEXT_MAPS = T.ArrayType(TEXT_MAP)
 
 ITEM = T.ArrayType(_table(
     product_name=T.StringType(), sku=T.StringType(), quantity=T.DoubleType(),
