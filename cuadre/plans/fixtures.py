@@ -175,6 +175,9 @@ def with_views(sql: str) -> str:
     ctes = [f"{name} AS ({body})" for name, body in VIEWS.items() if name in sql]
     if not ctes:
         return sql
-    head = "WITH " + ",\n".join(ctes)
     body = sql.lstrip()
-    return f"{head},\n{body[5:].lstrip()}" if body[:5].upper() == "WITH " else f"{head}\n{body}"
+    head = "WITH RECURSIVE " if body.startswith("WITH RECURSIVE ") else "WITH "
+    shaped = head + ",\n".join(ctes)
+    if body.startswith("WITH "):
+        return f"{shaped},\n{body.removeprefix(head).removeprefix('WITH ').lstrip()}"
+    return f"{shaped}\n{body}"

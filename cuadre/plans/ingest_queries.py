@@ -64,7 +64,8 @@ def _write_catalogs(spark: SparkSession, sf: str) -> str:
     price = F.format_string("$%.2f", "p_retailprice")
     first = part.select(F.when(F.col("p_partkey") % 4 != 0, code).alias("Code"), F.when(F.col("p_size") > 3, F.concat(F.lit(" "), name, F.lit("  "))).alias("Item "),
                         F.col("p_type").alias("Group"), price.alias("Price per case ($)"))
-    second = part.select(code.alias("Items"), name.alias("Description "), F.lit("#ERROR!").alias("Price "), price.alias("Price"))
+    boxed = F.concat_ws(" ", "p_type", "p_name", "p_size", F.lit("Kg"), "p_brand")
+    second = part.select(code.alias("Items"), boxed.alias("Description "), F.lit("#ERROR!").alias("Price "), price.alias("Price"))
     write = lambda df, sub: df.write.option("header", True).option(
         "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{folder}/{sub}")
     write(first, "database")
@@ -81,7 +82,7 @@ CATALOG_SQL = """
 catalog AS (
   SELECT CASE WHEN p_partkey % 4 <> 0 THEN lpad(CAST(p_partkey AS STRING), 6, '0') END AS code,
          CASE WHEN p_size > 3 THEN concat(' ', p_name, ' ', p_brand, ' ', p_type, '  ') END AS item FROM part
-  UNION ALL SELECT lpad(CAST(p_partkey AS STRING), 6, '0'), concat(p_name, ' ', p_brand, ' ', p_type) FROM part)"""
+  UNION ALL SELECT lpad(CAST(p_partkey AS STRING), 6, '0'), concat(p_type, ' ', p_name, ' ', CAST(p_size AS STRING), ' Kg ', p_brand) FROM part)"""
 
 
 @query("catalog_scan", f"WITH {CATALOG_SQL} SELECT code, item FROM catalog")
@@ -211,14 +212,14 @@ def invoice_validate(spark, sf):
 # vendors known before the batch: those with a processed invoice
 _KNOWN = """
 known AS (SELECT id, name, nit FROM fx_vendors WHERE id IN
-  (SELECT vendor_id FROM fx_invoices WHERE processing_status = 'processed' AND created_at < TIMESTAMP '1995-02-01')),
+  (SELECT vendor_id FROM fx_invoices WHERE processing_status = 'processed' AND created_at < TIMESTAMP '1995-01-03')),
 batch AS (SELECT v.id, v.nit, concat(v.name, ' ', i.invoice_number) AS name, i.id AS seen
   FROM fx_invoices i JOIN fx_vendors v ON i.vendor_id = v.id)"""
 
 
 def _known_vendors(spark: SparkSession, sf: str) -> DataFrame:
     early = view(spark, sf, "fx_invoices").where(
-        (F.col("processing_status") == "processed") & (F.col("created_at") < F.lit("1995-02-01").cast("timestamp_ntz")))
+        (F.col("processing_status") == "processed") & (F.col("created_at") < F.lit("1995-01-03").cast("timestamp_ntz")))
     return view(spark, sf, "fx_vendors").join(early.select(F.col("vendor_id").alias("id")).distinct(), "id", "left_semi")
 
 
