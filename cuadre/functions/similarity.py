@@ -17,6 +17,7 @@ Two layers:
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -304,36 +305,60 @@ def _sorted_tokens(name: str) -> str:
     return " ".join(sorted(name.split()))
 
 
+_SLICE = 16384  # pairs that stay in cache
+_GATHER = 262144  # pairs that share the preparation of their names
+
+
+def _sliced(fn, ia: np.ndarray, ib: np.ndarray) -> np.ndarray:
+    parts = [fn(ia[i : i + _SLICE], ib[i : i + _SLICE]) for i in range(0, len(ia), _SLICE)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
 def _score_pairs(left: pd.Series, right: pd.Series, need: np.ndarray | None) -> dict[str, np.ndarray]:
-    """Parts and score of each pair; with ``need``, pairs that cannot reach it keep score -1."""
+    """Parts and score of each pair; with ``need``, pairs that cannot reach it keep score -1.
+
+    The parts come in order of cost, and a pair drops out as soon as full marks
+    for the remaining parts would not do.
+    """
     ia, names_a = pd.factorize(left)
     ib, names_b = pd.factorize(right)
     names_a, names_b = list(names_a), list(names_b)
     a, b = _Names(names_a), _Names(names_b)
     m, n = a.length[ia], b.length[ib]
-    lcs = _lcs(a, ia, b, ib)
-    ratio = np.where(m + n == 0, 100, _percent(2 * lcs, m + n))
-    sa, sb = _Names([_sorted_tokens(x) for x in names_a]), _Names([_sorted_tokens(x) for x in names_b])
-    token_sort = np.where(m + n == 0, 100, _percent(2 * _lcs(sa, ia, sb, ib), m + n))
+    both = m + n
+    lcs = _sliced(lambda i, j: _lcs(a, i, b, j), ia, ib)
+    ratio = np.where(both == 0, 100, _percent(2 * lcs, both))
     # a window of the longer name shares no more with the shorter one than the whole does
     most = np.ceil(200 * lcs / np.maximum(np.minimum(m, n) + lcs, 1))
-    base = 2 * ratio + 3 * token_sort
-    go = np.arange(len(ia)) if need is None else np.flatnonzero(base + 2 * most + 300 >= 10 * need)
+    base = 2 * ratio
+    go = np.arange(len(ia))
+
+    def able(room: int) -> np.ndarray:
+        return go if need is None else go[base[go] + 2 * most[go] + room >= 10 * need[go]]
+
+    go = able(600)
+    token_sort = np.zeros(len(ia), np.int64)
+    if len(go):
+        (ua, ja), (ub, jb) = (np.unique(i[go], return_inverse=True) for i in (ia, ib))
+        sa = _Names([_sorted_tokens(names_a[i]) for i in ua])
+        sb = _Names([_sorted_tokens(names_b[i]) for i in ub])
+        token_sort[go] = _percent(2 * _sliced(lambda i, j: _lcs(sa, i, sb, j), ja, jb), both[go])
+    token_sort = np.where(both == 0, 100, token_sort)
+    base = base + 3 * token_sort
+    go = able(300)
     token_set = np.zeros(len(ia), np.int64)
     if len(go):
-        used_a, ja = np.unique(ia[go], return_inverse=True)
-        used_b, jb = np.unique(ib[go], return_inverse=True)
+        (ua, ja), (ub, jb) = (np.unique(i[go], return_inverse=True) for i in (ia, ib))
         vocabulary: dict[str, int] = {}
-        ta = _Tokens([names_a[i] for i in used_a], vocabulary, -1)
-        tb = _Tokens([names_b[i] for i in used_b], vocabulary, -2)
-        token_set[go] = _token_set(ta, ja, tb, jb)
+        ta = _Tokens([names_a[i] for i in ua], vocabulary, -1)
+        tb = _Tokens([names_b[i] for i in ub], vocabulary, -2)
+        token_set[go] = _sliced(lambda i, j: _token_set(ta, i, tb, j), ja, jb)
     base = base + 3 * token_set
-    if need is not None:
-        go = go[base[go] + 2 * most[go] >= 10 * need[go]]
+    go = able(0)
     partial = np.zeros(len(ia), np.int64)
     if len(go):
-        partial[go] = _partial_ratio(a, ia[go], b, ib[go])
-    partial = np.where(m + n == 0, 100, partial)
+        partial[go] = _sliced(lambda i, j: _partial_ratio(a, i, b, j), ia[go], ib[go])
+    partial = np.where(both == 0, 100, partial)
     score = np.full(len(ia), -1.0)
     score[go] = (base[go] + 2 * partial[go]) / 10.0
     return {"ratio": ratio, "partial_ratio": partial, "token_sort": token_sort, "token_set": token_set, "score": score}
@@ -360,9 +385,27 @@ def _parts_udf(left: pd.Series, right: pd.Series) -> pd.DataFrame:
 
 
 @F.pandas_udf(T.DoubleType())
-def _score_udf(left: pd.Series, right: pd.Series, need: pd.Series) -> pd.Series:
-    got = pd.Series(_by_width(left, right, need.to_numpy())["score"])
-    return got.where(got >= need.to_numpy())
+def _score_udf(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Scores, or null below ``need``; several Arrow batches share one preparation."""
+
+    def run(held: list[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        left, right, need = (pd.concat(c, ignore_index=True) for c in zip(*held))
+        got = pd.Series(_by_width(left, right, need.to_numpy())["score"])
+        got = got.where(got >= need)
+        at = 0
+        for part, *_ in held:
+            yield got.iloc[at : at + len(part)]
+            at += len(part)
+
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch[0])
+        if rows >= _GATHER:
+            yield from run(held)
+            held, rows = [], 0
+    if held:
+        yield from run(held)
 
 
 def similarity_parts(left: Column, right: Column) -> Column:

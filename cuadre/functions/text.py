@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Unicode white space plus the four ASCII separators.
 _SPACE = r"[\s\x1c-\x1f]"
@@ -13,6 +13,16 @@ def strip(col: Column) -> Column:
     return F.regexp_replace(col, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
 
 
+def once(df: DataFrame, columns: dict[str, Column], drop: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with costly ``columns`` that are computed once per row.
+
+    A plain projection is copied into every later filter on its columns; the
+    one-element ``inline`` stops that, at the price of column pruning.
+    """
+    kept = [c for c in df.columns if c not in drop and c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def normalize_name(col: Column) -> Column:
     """Lower case, keep only a-z, 0-9 and white space, single blanks, trimmed.
 

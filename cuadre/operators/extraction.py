@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cuadre.functions.text import nit_valid, text_guard
+from cuadre.functions.text import nit_valid, once, text_guard
 from cuadre.schemas import ITEM, TEXT_MAP, TEXT_MAPS
 
 TOTAL_TOLERANCE = 0.01
@@ -129,7 +129,8 @@ def parse_extractions(df: DataFrame, column: str = "extraction") -> DataFrame:
         .when(bad_amount("subtotal") | bad_amount("tax"), "amount_invalid")
         .when(~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)), "confidence_invalid")
     )
-    return scored.withColumn("reject_reason", reason).drop("_r", "_v", "_s")
+    found = [c for c in scored.columns if c not in (*df.columns, "_r", "_v", "_s")]
+    return once(scored, {**{c: F.col(c) for c in found}, "reject_reason": reason}, drop=("_r", "_v", "_s"))
 
 
 def invoice_warnings(records: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from cuadre.functions.manufacturer import extract_manufacturer
 from cuadre.operators.extraction import invoice_warnings, parse_extractions
 from cuadre.operators.stores import find_stores
 from cuadre.schemas import natural_id
+from cuadre.session import cut
 
 
 def _one_per_key(df: DataFrame, key: Sequence[str], order: Column, last: bool = False) -> DataFrame:
@@ -125,8 +126,8 @@ def invoice_items(records: DataFrame) -> DataFrame:
         F.col("item.line_total").alias("line_total"),
         (F.col("pos") + 1).alias("line_number"),
         F.lit(False).alias("matched"),
-        maker.alias("_m"),
-    ).select("*", "_m.*").drop("_m")
+        F.inline(F.array(maker)),
+    )
 
 
 @dataclass
@@ -144,9 +145,10 @@ def ingest(batch: DataFrame, vendors: DataFrame, stores: DataFrame, invoices: Da
 
     ``vendors`` (id, nit) and ``invoices`` (vendor_id, invoice_number) are the
     tables so far; ``stores`` serves the name lookup. The first file (by id) of an
-    invoice wins, within the batch and against the table. All frames are lazy.
+    invoice wins, within the batch and against the table. The batch is parsed once
+    and kept in the checkpoint folder; the frames read it from there.
     """
-    return load_parsed(check_batch(batch), vendors, stores, invoices)
+    return load_parsed(cut(check_batch(batch)), vendors, stores, invoices)
 
 
 def check_batch(batch: DataFrame) -> DataFrame:
@@ -155,7 +157,7 @@ def check_batch(batch: DataFrame) -> DataFrame:
 
 
 def load_parsed(parsed: DataFrame, vendors: DataFrame, stores: DataFrame, invoices: DataFrame) -> Ingested:
-    """:func:`ingest` from checked records; cut them first when writing several of the frames."""
+    """:func:`ingest` from checked records."""
     good = parsed.where(F.col("reject_reason").isNull())
     nits = good.select(F.col("vendor.nit").alias("nit"), F.col("vendor.name").alias("name"),
                        F.col("vendor.address").alias("address"), F.col("vendor.phone").alias("phone"),

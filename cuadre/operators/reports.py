@@ -88,7 +88,7 @@ def unit_columns(quantity: Column, case_price: Column, units_per_case: Column |
 
 def with_manufacturer(items: DataFrame, name: str = "vendor_product_name") -> DataFrame:
     """Items with ``manufacturer_name``, ``product_name_clean`` and ``manufacturer_prefix``."""
-    return items.withColumn("_maker", extract_manufacturer(F.col(name))).select(*items.columns, "_maker.*")
+    return items.select("*", F.inline(F.array(extract_manufacturer(F.col(name)))))
 
 
 def invoice_fact(

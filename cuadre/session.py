@@ -47,4 +47,4 @@ def parallelism(spark: SparkSession) -> int:
     large in work, so they ask for this many partitions explicitly.
     """
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(shuffle, 2 * spark.sparkContext.defaultParallelism)
+    return max(shuffle, 4 * spark.sparkContext.defaultParallelism)

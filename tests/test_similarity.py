@@ -50,12 +50,13 @@ def names_frame(spark, names):
     return fuzzy.distinct_names(df)
 
 
-def test_bounds_never_below_score(spark):
+def test_bounds_never_below_score(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "CHUNK_ROWS", 20)
     rng = random.Random(5)
     names = names_frame(spark, random_names(rng, 120) + random_names(rng, 20, 25) + ["aaaaaaaaaaaaaaaaaaaa", "zzzzzzzzzz", "1"])
-    cells = fuzzy._cells(names)
+    placed, cells = fuzzy._with_cells(names, F.broadcast)
     rows = (
-        names.alias("l").join(names.alias("r"), F.col("l.norm") <= F.col("r.norm"))
+        names.alias("l").join(placed.alias("r"), F.col("l.norm") <= F.col("r.norm"))
         .join(cells.alias("c"), (F.col("c.cell_len") == F.col("r.cell_len")) & (F.col("c.cell_digits") == F.col("r.cell_digits")))
         .select(F.col("l.norm").alias("a"), F.col("r.norm").alias("b"), similarity.score_bound("l", "r").alias("bound"),
                 similarity.cell_bound("l", "c").alias("cell"))
