@@ -23,41 +23,41 @@ def extract_manufacturer(name: Column) -> Column:
     rightmost such segment wins and everything left of it is the product), a
     name in parentheses at the end, a name after a spaced dash at the end.
     """
-    stripped = strip(name)
-    parts = F.split(name, r"\|")
-    numbered = F.transform(parts, lambda part, i: F.struct(i.alias("at"), strip(part).alias("text")))
-    hits = F.filter(numbered, lambda seg: (F.size(parts) > 1) & seg["text"].rlike(_LEADING))
-    hit = F.try_element_at(hits, F.lit(-1))
-
-    in_parens = F.nullif(F.regexp_extract(name, _IN_PARENS, 1), F.lit(""))
-    dashed = F.nullif(F.regexp_extract(name, _AFTER_DASH, 1), F.lit(""))
-    after_dash = F.when(~F.lower(dashed).isin(DESCRIPTIVE_WORDS), dashed)
-
-    def found(maker: Column, clean: Column, prefix: Column) -> Column:
-        return F.struct(
-            maker.alias("manufacturer_name"),
-            clean.alias("product_name_clean"),
-            prefix.alias("manufacturer_prefix"),
-        )
+    return F.element_at(manufacturer_row(name), 1)
 
+
+def manufacturer_row(name: Column) -> Column:
+    """:func:`extract_manufacturer` as a one-element array, ready for ``inline``.
+
+    The lambda over the one-element array binds the costly matches to a
+    variable, so each of them is computed once.
+    """
+    segments = F.transform(F.split(name, r"\|"), lambda part, i: F.struct(i.alias("at"), strip(part).alias("text")))
+    hits = F.filter(segments, lambda segment: segment["text"].rlike(_LEADING))
+    matches = F.struct(
+        strip(name).alias("stripped"),
+        F.when(F.contains(name, F.lit("|")), F.try_element_at(hits, F.lit(-1))).alias("segment"),
+        F.nullif(F.regexp_extract(name, _IN_PARENS, 1), F.lit("")).alias("in_parens"),
+        F.nullif(F.regexp_extract(name, _AFTER_DASH, 1), F.lit("")).alias("after_dash"),
+    )
+    return F.transform(F.array(matches), lambda found: _decide(name, found))
+
+
+def _decide(name: Column, found: Column) -> Column:
+    segment, in_parens, after_dash = found["segment"], found["in_parens"], found["after_dash"]
     nothing = F.lit(None).cast("string")
+
+    def row(maker: Column, clean: Column, prefix: Column) -> Column:
+        return F.struct(maker.alias("manufacturer_name"), clean.alias("product_name_clean"),
+                        prefix.alias("manufacturer_prefix"))
+
+    before = F.array_join(F.slice(F.split(name, r"\|"), F.lit(1), segment["at"]), "|")
     return (
-        F.when(name.isNull() | (stripped == ""), found(nothing, name, nothing))
-        .when(
-            hit.isNotNull(),
-            found(
-                F.regexp_extract(hit["text"], _LEADING, 1),
-                strip(F.array_join(F.slice(parts, F.lit(1), hit["at"]), "|")),
-                hit["text"],
-            ),
-        )
-        .when(
-            in_parens.isNotNull(),
-            found(in_parens, strip(F.regexp_replace(name, r"\s*\([^)]+\)\s*$", "")), in_parens),
-        )
-        .when(
-            after_dash.isNotNull(),
-            found(after_dash, strip(F.regexp_replace(name, _AFTER_DASH, "")), after_dash),
-        )
-        .otherwise(found(nothing, stripped, nothing))
+        F.when(name.isNull() | (found["stripped"] == ""), row(nothing, name, nothing))
+        .when(segment.isNotNull(), row(F.regexp_extract(segment["text"], _LEADING, 1), strip(before), segment["text"]))
+        .when(in_parens.isNotNull(),
+              row(in_parens, strip(F.regexp_replace(name, r"\s*\([^)]+\)\s*$", "")), in_parens))
+        .when(after_dash.isNotNull() & ~F.lower(after_dash).isin(DESCRIPTIVE_WORDS),
+              row(after_dash, strip(F.regexp_replace(name, _AFTER_DASH, "")), after_dash))
+        .otherwise(row(nothing, found["stripped"], nothing))
     )

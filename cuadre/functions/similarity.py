@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cuadre.functions.text import normalize_name
 
@@ -61,19 +61,26 @@ def _unary_word(norm: Column, capacity: dict[str, int]) -> Column:
     return word
 
 
-def signature(norm: Column) -> dict[str, Column]:
-    """Columns that bound the score of a normalized name against any other."""
+def with_signature(df: DataFrame) -> DataFrame:
+    """Adds the columns that bound the score of a normalized name ``norm`` against any other.
+
+    They are never null, so join code over them carries no null checks.
+    """
+    counted = sum((F.bit_count(s) for s in ("s0", "s1", "s2")), F.lit(0))
+    bits = {name: F.coalesce(col, F.lit(0)) for name, col in _signature(F.col("norm")).items()}
+    return df.withColumns(bits).withColumn("extra", F.col("len") - counted)
+
+
+def _signature(norm: Column) -> dict[str, Column]:
     words = [_unary_word(norm, cap) for cap in _CAPACITY]
     tokens = F.array_distinct(F.split(norm, " "))
     bit = [F.lit(1 << i).cast("bigint") for i in range(62)]
     token_bits = F.transform(tokens, lambda t: F.get(F.array(*bit), F.pmod(F.xxhash64(t), F.lit(62)).cast("int")))
-    counted = sum((F.bit_count(w) for w in words), F.lit(0))
     return {
         "len": F.length(norm),
         "ulen": F.length(F.array_join(tokens, " ")),
         "digits": F.length(F.regexp_replace(norm, "[^0-9]", "")),
         "s0": words[0], "s1": words[1], "s2": words[2],
-        "extra": F.length(norm) - counted,
         "words": F.aggregate(token_bits, F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(b)),
     }
 

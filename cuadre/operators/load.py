@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cuadre.functions.manufacturer import extract_manufacturer
+from cuadre.functions.manufacturer import manufacturer_row
 from cuadre.operators.extraction import invoice_warnings, parse_extractions
 from cuadre.operators.stores import find_stores
 from cuadre.schemas import natural_id
@@ -115,7 +115,6 @@ def invoice_headers(records: DataFrame) -> DataFrame:
 def invoice_items(records: DataFrame) -> DataFrame:
     """Item rows in array order, with the manufacturer split off the name."""
     lines = records.select("invoice_id", F.posexplode("items").alias("pos", "item"))
-    maker = extract_manufacturer(F.col("item.product_name"))
     return lines.select(
         natural_id("invoice_id", "pos").alias("id"),
         "invoice_id",
@@ -126,7 +125,7 @@ def invoice_items(records: DataFrame) -> DataFrame:
         F.col("item.line_total").alias("line_total"),
         (F.col("pos") + 1).alias("line_number"),
         F.lit(False).alias("matched"),
-        F.inline(F.array(maker)),
+        F.inline(manufacturer_row(F.col("item.product_name"))),
     )
 
 

@@ -12,7 +12,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cuadre.functions.manufacturer import extract_manufacturer
+from cuadre.functions.manufacturer import manufacturer_row
 from cuadre.functions.text import confidence_pct, date_parts, effective_name
 
 ALL = "Todos"
@@ -88,7 +88,7 @@ def unit_columns(quantity: Column, case_price: Column, units_per_case: Column |
 
 def with_manufacturer(items: DataFrame, name: str = "vendor_product_name") -> DataFrame:
     """Items with ``manufacturer_name``, ``product_name_clean`` and ``manufacturer_prefix``."""
-    return items.select("*", F.inline(F.array(extract_manufacturer(F.col(name)))))
+    return items.select("*", F.inline(manufacturer_row(F.col(name))))
 
 
 def invoice_fact(

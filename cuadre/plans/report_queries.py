@@ -7,7 +7,6 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cuadre.functions import text
-from cuadre.functions.manufacturer import extract_manufacturer
 from cuadre.operators import audits, reports
 from cuadre.plans.fixtures import table, view
 from cuadre.plans.registry import query
