@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cuadre.functions.manufacturer import manufacturer_row
 from cuadre.operators.extraction import invoice_warnings, parse_extractions
+from cuadre.operators.joins import lookup
 from cuadre.operators.stores import find_stores
 from cuadre.schemas import natural_id
 from cuadre.session import cut
@@ -30,7 +31,7 @@ def _one_per_key(df: DataFrame, key: Sequence[str], order: Column, last: bool =
 
 def new_rows(table: DataFrame, incoming: DataFrame, key: Sequence[str], order: Column) -> DataFrame:
     """Rows to insert: first of each key in the batch, and no key the table has."""
-    fresh = incoming.join(table.select(*key).distinct(), list(key), "left_anti").select(*incoming.columns)
+    fresh = incoming.join(table.select(*key), list(key), "left_anti").select(*incoming.columns)
     return _one_per_key(fresh, key, order)
 
 
@@ -165,12 +166,8 @@ def load_parsed(parsed: DataFrame, vendors: DataFrame, stores: DataFrame, invoic
     known = vendors.select(F.col("id").alias("vendor_id"), "nit").unionByName(
         created.select(F.col("id").alias("vendor_id"), "nit"))
     found = find_stores(good.select(F.col("store.name").alias("name")), stores)
-    placed = (
-        good.withColumn("nit", F.col("vendor.nit")).join(known, "nit")
-        .withColumn("_store", F.col("store.name"))
-        .join(found.select(F.col("name").alias("_store"), "store_id"), "_store", "left")
-        .drop("_store")
-    )
+    placed = good.withColumn("nit", F.col("vendor.nit")).join(known, "nit").withColumn("_store", F.col("store.name"))
+    placed = lookup(placed, found.select(F.col("name").alias("_store"), "store_id"), "_store", "file_id").drop("_store")
     winners = new_rows(invoices, placed.select("vendor_id", "invoice_number", "file_id"),
                        ["vendor_id", "invoice_number"], F.col("file_id"))
     loaded = placed.join(winners.select("file_id"), "file_id", "left_semi")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cuadre.functions.manufacturer import manufacturer_row
 from cuadre.functions.text import confidence_pct, date_parts, effective_name
+from cuadre.operators.joins import lookup
 
 ALL = "Todos"
 HIGH_PRICE = "🔴 PRECIO ALTO"
@@ -42,8 +43,7 @@ def invoices_detailed(invoices: DataFrame, vendors: DataFrame, stores: DataFrame
                         "validated") if c in invoices.columns]
     stamps = [c for c in ("created_at", "updated_at") if c in invoices.columns]
     return (
-        invoices.join(v, "vendor_id", "left")
-        .join(s, "store_id", "left")
+        lookup(invoices.join(v, "vendor_id", "left"), s, "store_id")
         .join(counts, "id", "left")
         .select(*kept, "vendor_name", "vendor_nit", "store_name", "store_code",
                 F.coalesce("items_count", F.lit(0).cast("bigint")).alias("items_count"), *stamps)
@@ -56,8 +56,7 @@ def items_detailed(items: DataFrame, invoices: DataFrame, products: DataFrame) -
     p = products.select(F.col("id").alias("product_id"), F.col("master_name").alias("product_name"),
                         F.col("master_sku").alias("product_sku"))
     return (
-        items.join(i, "invoice_id")
-        .join(p, "product_id", "left")
+        lookup(items.join(i, "invoice_id"), p, "product_id")
         .select("id", "invoice_id", "invoice_number", "vendor_product_name", "vendor_sku", "product_name",
                 "product_sku", "quantity", "unit_price", "line_total", "matched", "line_number", "invoice_date")
     )
@@ -107,8 +106,9 @@ def invoice_fact(
     p = products.select(F.col("id").alias("product_id"), "master_sku")
     parts = date_parts(F.col("invoice_date"))
     units = unit_columns(F.col("quantity"), F.col("unit_price"))
+    joined = items.join(i, "invoice_id").join(v, "invoice_vendor")
     return (
-        items.join(i, "invoice_id").join(v, "invoice_vendor").join(s, "store_id", "left").join(p, "product_id", "left")
+        lookup(lookup(joined, s, "store_id"), p, "product_id")
         .select(
             F.col("processing_status").alias("status"),
             F.coalesce("store_name", F.lit("N/A")).alias("store"),
@@ -192,7 +192,9 @@ def row_search(df: DataFrame, pattern: str, columns: Sequence[str] | None = None
 
 def price_join(fact: DataFrame, agreed: DataFrame) -> DataFrame:
     """Left join of agreed prices on (distributor, item code); duplicate prices fan out."""
-    return fact.join(agreed.select("distributor", "item_code", "agreed_price"), ["distributor", "item_code"], "left")
+    known = agreed.select("distributor", "item_code", "agreed_price")
+    row = "item_id" if "item_id" in fact.columns else "distributor"
+    return lookup(fact, known, "item_code", row, ["distributor"])
 
 
 def alert_text(case_price: Column, agreed_price: Column) -> Column:
@@ -281,7 +283,7 @@ def invoice_nested(
     v = vendors.select(F.col("id").alias("vendor_id"), F.struct("name", "nit").alias("vendor"))
     s = stores.select(F.col("id").alias("store_id"), F.struct("name", "code").alias("store"))
     return (
-        invoices.join(v, "vendor_id", "left").join(s, "store_id", "left").join(lists, "id", "left")
+        lookup(invoices.join(v, "vendor_id", "left"), s, "store_id").join(lists, "id", "left")
         .withColumn("part", F.coalesce("part", F.lit(0)))
         .withColumn("items", F.coalesce("items", F.array().cast(lists.schema["items"].dataType)))
     )

@@ -154,6 +154,7 @@ def test_store_codes(spark):
 
 def test_find_stores(spark, monkeypatch):
     monkeypatch.setattr(stores, "POSTING_ROWS", 3)
+    monkeypatch.setattr(stores, "PROBE_ROWS", 2)
     rng = random.Random(2)
     pool = [(i, n.title()) for i, n in enumerate(random_names(rng, 80) + ["50% Off_Shop"])]
     wanted = sorted({n[rng.randint(0, 3) : rng.randint(4, 12)].upper() for _, n in pool} | {"A", "go", "%", "_", "f_s", "nowhere", ""})
