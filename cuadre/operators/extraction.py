@@ -136,6 +136,7 @@ def parse_extractions(df: DataFrame, column: str = "extraction") -> DataFrame:
 def invoice_warnings(records: DataFrame) -> DataFrame:
     """``warnings``: what is missing or does not add up. They do not block loading."""
     empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    # The warning texts.
     return records.withColumn("warnings", F.array_compact(F.array(
         F.when(empty("vendor.name"), "Vendor sin nombre"),
         F.when(empty("vendor.nit"), "Vendor sin NIT"),

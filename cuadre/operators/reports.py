@@ -12,7 +12,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cuadre.functions.manufacturer import manufacturer_row
+from cuadre.functions.manufacturer import extract_manufacturer, manufacturer_row
 from cuadre.functions.text import confidence_pct, date_parts, effective_name
 from cuadre.operators.joins import lookup
 
@@ -85,9 +85,16 @@ def unit_columns(quantity: Column, case_price: Column, units_per_case: Column |
     }
 
 
-def with_manufacturer(items: DataFrame, name: str = "vendor_product_name") -> DataFrame:
-    """Items with ``manufacturer_name``, ``product_name_clean`` and ``manufacturer_prefix``."""
-    return items.select("*", F.inline(manufacturer_row(F.col(name))))
+def with_manufacturer(items: DataFrame, name: str = "vendor_product_name", to_filter: bool = False) -> DataFrame:
+    """Items with ``manufacturer_name``, ``product_name_clean`` and ``manufacturer_prefix``.
+
+    As it is, the extraction is dropped where its columns are not read. Pass
+    ``to_filter`` when later steps filter on them: it is then computed once per
+    row, and always.
+    """
+    if to_filter:
+        return items.select("*", F.inline(manufacturer_row(F.col(name))))
+    return items.withColumn("_maker", extract_manufacturer(F.col(name))).select(*items.columns, "_maker.*")
 
 
 def invoice_fact(

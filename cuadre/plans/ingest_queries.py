@@ -294,7 +294,7 @@ def invoice_items(spark, sf):
 SELECT i.id, m.manufacturer_name, CASE manufacturer_name WHEN 'Lavazza' THEN 'known-1' ELSE manufacturer_name END AS manufacturer_key
 FROM fx_items i JOIN makers m ON i.vendor_product_name = m.vendor_product_name""")
 def manufacturer_dim(spark, sf):
-    items = reports.with_manufacturer(view(spark, sf, "fx_items"))
+    items = reports.with_manufacturer(view(spark, sf, "fx_items"), to_filter=True)
     known = spark.createDataFrame([("known-1", "Lavazza")], "id string, name string")
     dim, mapped = load.get_or_create_manufacturers(known, items)
     keys = dim.select(F.col("id").alias("manufacturer_id"),

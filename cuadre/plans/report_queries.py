@@ -378,14 +378,14 @@ SELECT count(*) AS processed, count(manufacturer_name) AS with_manufacturer,
   count(*) FILTER (i.vendor_product_name IS NULL) AS errors
 FROM fx_items i LEFT JOIN makers m ON i.vendor_product_name = m.vendor_product_name""")
 def manufacturer_stats(spark, sf):
-    return reports.manufacturer_stats(reports.with_manufacturer(view(spark, sf, "fx_items")))
+    return reports.manufacturer_stats(reports.with_manufacturer(view(spark, sf, "fx_items"), to_filter=True))
 
 
 @query("manufacturer_list", f"""WITH {MAKERS_SQL}
 SELECT manufacturer_name, count(*) AS items FROM fx_items i JOIN makers m ON i.vendor_product_name = m.vendor_product_name
 WHERE manufacturer_name IS NOT NULL GROUP BY 1""")
 def manufacturer_list(spark, sf):
-    return reports.manufacturer_list(reports.with_manufacturer(view(spark, sf, "fx_items")))
+    return reports.manufacturer_list(reports.with_manufacturer(view(spark, sf, "fx_items"), to_filter=True))
 
 
 # ---- audits ----------------------------------------------------------------
