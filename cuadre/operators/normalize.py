@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cuadre.functions.text import effective_name, normalize_name, store_code_base
+from cuadre.functions.text import effective_name, normalize_name, once, store_code_base
 from cuadre.operators.fuzzy import distinct_names, top_matches
 from cuadre.operators.load import _one_per_key
 from cuadre.schemas import natural_id
@@ -181,9 +181,10 @@ def catalog_scores(items: DataFrame, products: DataFrame, threshold: float = 80,
     go to the lowest product id. ``keep_low`` also reports best scores below the
     threshold.
     """
+    open_items = items.where(F.col("product_id").isNull()).select("product_name_clean", "vendor_product_name")
+    name = effective_name(F.col("product_name_clean"), F.col("vendor_product_name"))
     todo = cut(
-        items.where(F.col("product_id").isNull())
-        .select(effective_name(F.col("product_name_clean"), F.col("vendor_product_name")).alias("item_name"))
+        once(open_items, {"item_name": name}, drop=("product_name_clean", "vendor_product_name"))
         .where((F.col("item_name") != "") & (F.col("item_name") != "NULL")).distinct()
         .withColumn("norm", normalize_name(F.col("item_name")))
     )
