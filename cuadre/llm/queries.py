@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuadre.llm import packing, sharding, simple8b
+from cuadre.llm import packing, sharding, simhash, simple8b
 from cuadre.llm.common import table
 from cuadre.llm.registry import CHECKS, QUERIES, query
 from cuadre.session import scratch_path
@@ -27,3 +27,8 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_minimax_sharding")
 def op9_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+@query("op4_simhash_trie")
+def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("fp")
