@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuadre.llm import packing, sharding, simhash, simple8b
+from cuadre.llm import packing, secret_scan, sharding, simhash, simple8b, urls
 from cuadre.llm.common import table
 from cuadre.llm.registry import CHECKS, QUERIES, query
 from cuadre.session import scratch_path
@@ -32,3 +32,13 @@ def op9_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_simhash_trie")
 def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("fp")
+
+
+@query("op2_host_reputation")
+def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op6_secret_scan")
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
