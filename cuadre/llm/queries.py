@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuadre.llm import packing, secret_scan, sharding, simhash, simple8b, urls
+from cuadre.llm import packing, quality, secret_scan, sharding, simhash, simple8b, templates, urls
 from cuadre.llm.common import table
 from cuadre.llm.registry import CHECKS, QUERIES, query
 from cuadre.session import scratch_path
@@ -42,3 +42,13 @@ def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_secret_scan")
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op10_template_decontamination")
+def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_attention_quality")
+def op3_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
