@@ -83,7 +83,8 @@ def corpus_samples(texts: DataFrame) -> DataFrame:
     values = F.when(marked, F.transform(secret, lambda v: F.struct(v.alias("value"), F.lit(True).alias("random")))).otherwise(
         F.transform(F.regexp_extract_all(text, F.lit(ORDINARY), F.lit(0)), lambda v: F.struct(v.alias("value"), F.lit(False).alias("random")))
     )
-    return texts.select(F.explode(values).alias("s")).select("s.value", "s.random")
+    # outer: else the optimizer derives a filter that searches the text a second time
+    return texts.select(F.explode_outer(values).alias("s")).select("s.value", "s.random")
 
 
 def train(samples: DataFrame) -> list[float]:
@@ -92,7 +93,7 @@ def train(samples: DataFrame) -> list[float]:
     ``samples``: value (ASCII), random (boolean). Counts are summed by Spark; the driver gets at
     most 2 * 128 * 128 of them.
     """
-    pairs = samples.filter(F.length("value") > 1).select("random", F.explode(_pairs(F.col("value"))).alias("pair"))
+    pairs = samples.filter(F.length("value") > 1).select("random", F.explode_outer(_pairs(F.col("value"))).alias("pair"))
     count: dict[bool, dict[int, int]] = {True: {}, False: {}}
     first: dict[bool, dict[int, int]] = {True: {}, False: {}}
     for row in pairs.groupBy("random", "pair").count().collect():

@@ -39,20 +39,31 @@ SEGMENT = (
 )
 
 
+def _bits(values: np.ndarray) -> np.ndarray:
+    """Bit lengths, the narrowest width that holds the value being all that matters."""
+    limits = np.array([0, *((1 << w) - 1 for w in WIDTHS)], np.uint64)
+    lengths = np.array([0, *WIDTHS, 64], np.uint8)
+    if int(values.max()) < 1 << 16:
+        return lengths[np.searchsorted(limits, np.arange(1 << 16, dtype=np.uint64))][values.astype(np.int64)]
+    return lengths[np.searchsorted(limits, values)]
+
+
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words and escapes of unsigned 64-bit values, packing as many as fit in each word."""
     values = np.ascontiguousarray(values, dtype=np.uint64)
     n = len(values)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    place = np.arange(n)
+    # widest[k]: the largest bit length among k values from each place on, for growing k
+    widest, size = _bits(values), 1
     choice = np.full(n, ESCAPE, np.int8)
-    for s in range(len(COUNTS) - 1, -1, -1):
-        breaks = np.where(values >> np.uint64(WIDTHS[s]), place, n)
-        reach = np.minimum.accumulate(breaks[::-1])[::-1] - place
-        choice[reach >= COUNTS[s]] = s
-    breaks = np.where(values != 0, place, n)
-    choice[np.minimum.accumulate(breaks[::-1])[::-1] - place >= ZEROS] = ZERO_RUN
+    for s in (*reversed(range(len(COUNTS))), ZERO_RUN):
+        count, width = (COUNTS[s], WIDTHS[s]) if s != ZERO_RUN else (ZEROS, 0)
+        while size < count and len(widest):
+            more = min(size, count - size)
+            widest = np.maximum(widest[: len(widest) - more], widest[more:]) if len(widest) > more else widest[:0]
+            size += more
+        choice[: len(widest)][widest <= width] = s
     step = np.array([*COUNTS, ZEROS, 1], np.int64)[choice].tolist()
     starts = []
     at = 0

@@ -32,10 +32,12 @@ def tokens(text: Column) -> Column:
 
     A name is a capitalised word after a word or comma and a space, not at the start of a sentence.
     """
-    marked = F.regexp_replace(text, f"[{NAME}{NUMBER}{UNIT}]", " ")
-    marked = F.regexp_replace(marked, r"([\p{Ll}\p{N},] )(?=\p{Lu}\p{Ll})", f"$1{NAME}")
+    marked = text
+    for mark in (NAME, NUMBER, UNIT):
+        marked = F.replace(marked, F.lit(mark), F.lit(" "))
+    marked = F.regexp_replace(marked, r" (?=\p{Lu}\p{Ll})(?<=[\p{Ll}\p{N},] )", f" {NAME}")
     marked = F.regexp_replace(marked, r"(\p{N})[.,](?=\p{N})", f"$1{POINT}")
-    marked = F.regexp_replace(marked, rf"(?<![\p{{L}}\p{{N}}{POINT}])(\p{{N}}[\p{{N}}{POINT}]*)", f"{NUMBER}$1")
+    marked = F.regexp_replace(marked, rf"\p{{N}}[\p{{N}}{POINT}]*", f"{NUMBER}$0")
     marked = F.regexp_replace(marked, rf"({NUMBER}[^\s]*?) ?({'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
     return F.array_remove(F.split(F.lower(marked), rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}{NUMBER}{UNIT}{POINT}]+"), "")
 
@@ -49,22 +51,34 @@ def template(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(is_slot(w), F.left(w, F.lit(1))).otherwise(w))
 
 
-def windows(canonical: Column, width: int) -> Column:
-    """Hashes of all windows of ``width`` words, in order."""
-    last = F.size(canonical) - width
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.slice(canonical, i + 1, width)))).otherwise(
-        F.array().cast("array<long>")
-    )
+def with_windows(df: DataFrame, canonical: str, width: int, out: str) -> DataFrame:
+    """Adds the hashes of all windows of ``width`` words, in order.
+
+    Hashes of windows are made from hashes of shorter ones, a column for each doubling. They are
+    exploded as outer: else the optimizer derives a filter that computes them again.
+    """
+    df = df.withColumn(out, F.transform(canonical, lambda w: F.xxhash64(w)))
+    size = 1
+    while size < width:
+        step = min(size, width - size)
+        n = F.greatest(F.size(out) - step, F.lit(0))
+        df = df.withColumn(out, F.zip_with(F.slice(out, 1, n), F.slice(out, 1 + step, n), lambda a, b: F.xxhash64(a, b)))
+        size += step
+    return df
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """width, hash, item_id, at, item_words of each window with more words than placeholders."""
     items = benchmark.select("item_id", tokens(whole_text()).alias("words")).distinct()
     items = items.withColumn("width", F.least(F.size("words"), F.lit(WINDOW))).filter(F.col("width") >= SHORTEST)
-    cut = items.select("item_id", "width", "words", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("width"))).alias("at"))
-    cut = cut.select("item_id", "width", "at", F.slice("words", F.col("at") + 1, F.col("width")).alias("item_words"))
-    enough = 2 * F.size(F.filter("item_words", is_slot)) < F.col("width")
-    return cut.filter(enough).withColumn("hash", F.xxhash64(template(F.col("item_words"))))
+    items = items.withColumn("canonical", template(F.col("words")))
+    out = None
+    for width in range(SHORTEST, WINDOW + 1):
+        cut = with_windows(items.filter(F.col("width") == width), "canonical", width, "hashes")
+        cut = cut.select("item_id", "width", "words", F.posexplode_outer("hashes").alias("at", "hash"))
+        cut = cut.select("width", "hash", "item_id", "at", F.slice("words", F.col("at") + 1, width).alias("item_words"))
+        out = cut if out is None else out.union(cut)
+    return out.filter("hash IS NOT NULL").filter(2 * F.size(F.filter("item_words", is_slot)) < F.col("width"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -84,7 +98,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") ->
     shaped = words.withColumn("canonical", F.when(F.exists("words", is_slot), template(F.col("words"))).otherwise(F.col("words")))
     matches = None
     for width in sorted(widths) or [WINDOW]:
-        placed = shaped.select("key", "words", F.posexplode(windows(F.col("canonical"), width)).alias("place", "hash"))
+        placed = with_windows(shaped, "canonical", width, "hashes").select("key", "words", F.posexplode_outer("hashes").alias("place", "hash"))
         if not small:  # the words of a window travel instead of the document's
             placed = placed.withColumn("words", F.slice("words", F.col("place") + 1, width)).withColumn("from", F.lit(1))
         else:
