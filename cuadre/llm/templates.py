@@ -109,11 +109,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") ->
         pairs = F.zip_with(mine, "item_words", lambda d, i: F.struct(i.alias("item"), d.alias("doc")))
         found = met.select("key", "item_id", (F.col("place") - F.col("at")).alias("offset"), "at", pairs.alias("pairs"))
         matches = found if matches is None else matches.union(found)
+    # Whether the words agree is looked at after the aggregation: a lambda function in the join would
+    # keep the join out of the generated code, and every exploded row would copy the document's words.
+    met = matches.groupBy("key", "item_id", "offset").agg(F.collect_set(F.struct("at", "pairs")).alias("met"))
     # equal hashes are checked: unmarked words agree, marked ones have the same mark
     agrees = lambda p: F.when(is_slot(p["item"]), F.left(p["item"], F.lit(1)) == F.left(p["doc"], F.lit(1))).otherwise(p["item"] == p["doc"])
-    slots = F.filter("pairs", lambda p: is_slot(p["item"]))
-    real = matches.filter(F.forall("pairs", agrees)).select("key", "item_id", "offset", "at", slots.alias("slots"))
-    aligned = real.groupBy("key", "item_id", "offset").agg(F.count_distinct("at").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    real = met.select("key", "item_id", F.filter("met", lambda m: F.forall(m["pairs"], agrees)).alias("met")).filter(F.size("met") > 0)
+    slots = F.array_distinct(F.flatten(F.transform("met", lambda m: F.filter(m["pairs"], lambda p: is_slot(p["item"])))))
+    aligned = real.select("key", "item_id", F.size(F.array_distinct("met.at")).alias("n_windows"), slots.alias("slots"))
     values = F.size(F.array_distinct("slots.item"))
     consistent = aligned.filter(F.size("slots") == values)
     best = consistent.select(
