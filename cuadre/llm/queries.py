@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuadre.llm import packing, quality, secret_scan, sharding, simhash, simple8b, templates, urls
+from cuadre.llm import neighbours, packing, quality, secret_scan, sharding, simhash, simple8b, templates, urls
 from cuadre.llm.common import table
 from cuadre.llm.registry import CHECKS, QUERIES, query
 from cuadre.session import scratch_path
@@ -52,3 +52,8 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 @query("op3_attention_quality")
 def op3_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_hilbert_neighbours")
+def op7_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
