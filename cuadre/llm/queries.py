@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuadre.llm import neighbours, packing, quality, secret_scan, sharding, simhash, simple8b, templates, urls
+from cuadre.llm import maxent, neighbours, packing, quality, secret_scan, sharding, simhash, simple8b, templates, urls
 from cuadre.llm.common import table
 from cuadre.llm.registry import CHECKS, QUERIES, query
 from cuadre.session import scratch_path
@@ -57,3 +57,8 @@ def op3_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_hilbert_neighbours")
 def op7_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
+@query("op8_maxent_scoring")
+def op8_maxent_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"))

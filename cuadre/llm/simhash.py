@@ -22,11 +22,13 @@ from cuadre.llm.common import salted_lookup, whole_text, written
 from cuadre.llm.components import components
 
 BITS, SHINGLE, BUDGET, SEED = 64, 3, 2, 42
-#: Fingerprints in a subtree where Spark hands over to the task, on average, and the largest
-#: product of two subtrees' sizes that one task takes; larger pairs are split further.
-SUBTREE, PRODUCT = 1024, 1 << 22
+#: Fingerprints in a subtree where Spark hands over to the task, on average at most, and the
+#: largest product of two subtrees' sizes that one task takes; larger pairs are split further.
+SUBTREE, PRODUCT = 1024, 1 << 24
 #: Bits that one split adds.
-STEP = 8
+STEP = 4
+#: Node pairs that a task holds at a level; more are traversed one part after the other.
+FRONTIER = 1 << 19
 
 
 def fingerprint(text: str) -> int:
@@ -71,40 +73,44 @@ def _mask_rows(bits: int, budget: int) -> Column:
 def traverse(left: np.ndarray, right: np.ndarray, depth: int, differing: int, same: bool, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j) of fingerprints within the budget; both arrays sorted, equal above ``depth``
     but for ``differing`` bits. With ``same`` both are one array and i < j."""
-    a0, a1 = np.zeros(1, np.int32), np.full(1, len(left), np.int32)
-    b0, b1 = np.zeros(1, np.int32), np.full(1, len(right), np.int32)
-    d = np.full(1, differing, np.int8)
-    found_i, found_j = [], []
-    for level in range(depth, BITS + 1):
+    ones: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def ones_before(level: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many fingerprints before each place have a 1 in the bit below ``level``."""
+        if level not in ones:
+            shift, one = np.uint64(BITS - 1 - level), np.uint64(1)
+            count = lambda side: np.concatenate([[0], np.cumsum((side >> shift) & one)]).astype(np.int32)
+            mine = count(left)
+            ones[level] = mine, mine if same else count(right)
+        return ones[level]
+
+    whole = (np.zeros(1, np.int32), np.full(1, len(left), np.int32), np.zeros(1, np.int32), np.full(1, len(right), np.int32), np.full(1, differing, np.int8))
+    todo = [(depth, whole)]
+    found_i, found_j = [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+    while todo:
+        level, (a0, a1, b0, b1, d) = todo.pop()
         single = (a1 - a0 == 1) & (b1 - b0 == 1)
-        if single.any():
-            i, j = a0[single], b0[single]
-            near = np.bitwise_count(left[i] ^ right[j]) <= budget
-            if same:
-                near &= i != j
-            found_i.append(i[near]), found_j.append(j[near])
-            rest = ~single
-            a0, a1, b0, b1, d = a0[rest], a1[rest], b0[rest], b1[rest], d[rest]
+        i, j = a0[single], b0[single]
+        near = np.bitwise_count(left[i] ^ right[j]) <= budget
+        if same:
+            near &= i != j
+        found_i.append(i[near]), found_j.append(j[near])
+        rest = ~single
+        a0, a1, b0, b1, d = a0[rest], a1[rest], b0[rest], b1[rest], d[rest]
         if not len(a0) or level == BITS:
-            break
-        shift = np.uint64(BITS - 1 - level)
-        ones_left = np.concatenate([[0], np.cumsum((left >> shift) & np.uint64(1), dtype=np.int32)]).astype(np.int32)
-        ones_right = ones_left if same else np.concatenate([[0], np.cumsum((right >> shift) & np.uint64(1), dtype=np.int32)]).astype(np.int32)
+            continue
+        ones_left, ones_right = ones_before(level)
         am, bm = a1 - (ones_left[a1] - ones_left[a0]), b1 - (ones_right[b1] - ones_right[b0])
         own = (a0 == b0) & (a1 == b1) if same else np.zeros(len(a0), bool)
-        parts = [
-            (a0, am, b0, bm, d, None), (am, a1, bm, b1, d, None),
-            (a0, am, bm, b1, d + np.int8(1), d < budget), (am, a1, b0, bm, d + np.int8(1), (d < budget) & ~own),
-        ]
+        once = d + np.int8(1)
+        parts = [(a0, am, b0, bm, d, d <= budget), (am, a1, bm, b1, d, d <= budget), (a0, am, bm, b1, once, d < budget), (am, a1, b0, bm, once, (d < budget) & ~own)]
         kept = []
-        for x0, x1, y0, y1, dd, ok in parts:
-            keep = (x1 > x0) & (y1 > y0)
-            if ok is not None:
-                keep &= ok
+        for x0, x1, y0, y1, dd, keep in parts:
+            keep = keep & (x1 > x0) & (y1 > y0)
             kept.append(tuple(x[keep] for x in (x0, x1, y0, y1, dd)))
-        a0, a1, b0, b1, d = (np.concatenate(x) for x in zip(*kept, strict=True))
-    if not found_i:
-        return np.empty(0, np.int32), np.empty(0, np.int32)
+        below = tuple(np.concatenate(x) for x in zip(*kept, strict=True))
+        for k in range(0, len(below[0]), FRONTIER):
+            todo.append((level + 1, tuple(x[k : k + FRONTIER] for x in below)))
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
@@ -125,7 +131,7 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
 
 def subtree_pairs(prints: DataFrame, n: int, budget: int = BUDGET) -> tuple[DataFrame, list[int]]:
     """Pairs of subtrees that may hold links: depth, a, b, d; and the depths that occur."""
-    depth = max(0, min(24, int(math.log2(max(n, 1) / SUBTREE)))) if n > SUBTREE else 0
+    depth = min(24, math.ceil(math.log2(n / SUBTREE))) if n > SUBTREE else 0
     nodes = lambda at: prints.groupBy(prefix("fp", at).alias("p")).agg(F.count(F.lit(1)).alias("n"))
     top = nodes(depth)
     pairs = (
@@ -182,6 +188,17 @@ def links(prints: DataFrame, n: int, budget: int = BUDGET, every: bool = True) -
     return left.union(right).groupBy("depth", "a", "b").applyInPandas(join, "u long, v long")
 
 
+def _members(classes: DataFrame, budget: int) -> DataFrame:
+    """``classes`` (distinct fp) with the root fingerprint of their component."""
+    found = links(classes.select("fp"), classes.count(), budget, every=False)
+    return classes.join(components(found).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def first_of_components(classes: DataFrame, first: str, budget: int = BUDGET) -> DataFrame:
+    """The smallest ``first`` of each component of ``classes`` (distinct fp, ``first``)."""
+    return _members(classes, budget).groupBy("root").agg(F.min(first).alias(first)).select(first)
+
+
 def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """One row for each document: doc_id, fp (long), fingerprint (hex), component_id.
 
@@ -192,8 +209,7 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """
     prints = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_udf(whole_text()).alias("fp")), "fingerprints")
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
-    found = links(classes.select("fp"), classes.count(), budget, every=False)
-    member = classes.join(components(found).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    member = _members(classes, budget)
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
     named = salted_lookup(member.select("fp", "root"), least, "root", F.hash("fp")).select("fp", "component_id")
     out = salted_lookup(prints, named, "fp", F.hash("doc_id"))
