@@ -20,6 +20,10 @@ from cuadre.schemas import natural_id
 from cuadre.session import cut
 
 
+#: Number of a row of a batch, so that equal file ids and null ones stay apart.
+ROW = "_row_number"
+
+
 def _one_per_key(df: DataFrame, key: Sequence[str], order: Column, last: bool = False) -> DataFrame:
     """The first (or last) row of every key under ``order``."""
     rest = [c for c in df.columns if c not in key]
@@ -31,8 +35,7 @@ def _one_per_key(df: DataFrame, key: Sequence[str], order: Column, last: bool =
 
 def new_rows(table: DataFrame, incoming: DataFrame, key: Sequence[str], order: Column) -> DataFrame:
     """Rows to insert: first of each key in the batch, and no key the table has."""
-    fresh = incoming.join(table.select(*key), list(key), "left_anti").select(*incoming.columns)
-    return _one_per_key(fresh, key, order)
+    return _one_per_key(incoming, key, order).join(table.select(*key), list(key), "left_anti").select(*incoming.columns)
 
 
 def insert_if_absent(table: DataFrame, incoming: DataFrame, key: Sequence[str], order: Column) -> DataFrame:
@@ -138,17 +141,23 @@ class Ingested:
     invoices: DataFrame
     items: DataFrame
     status: DataFrame
+    manufacturers: DataFrame | None = None
 
 
-def ingest(batch: DataFrame, vendors: DataFrame, stores: DataFrame, invoices: DataFrame) -> Ingested:
+def ingest(
+    batch: DataFrame, vendors: DataFrame, stores: DataFrame, invoices: DataFrame, manufacturers: DataFrame | None = None
+) -> Ingested:
     """Parse, reject, score, check and load one batch of ``(file_id, extraction)``.
 
     ``vendors`` (id, nit) and ``invoices`` (vendor_id, invoice_number) are the
-    tables so far; ``stores`` serves the name lookup. The first file (by id) of an
-    invoice wins, within the batch and against the table. The batch is parsed once
-    and kept in the checkpoint folder; the frames read it from there.
+    tables so far; ``stores`` serves the name lookup. The first record of an invoice
+    wins, within the batch and against the table: by ``received_at`` if the batch has
+    it, then by file id; null ids come last and each such record counts for itself.
+    With ``manufacturers`` (id, name) items get a ``manufacturer_id`` and the result
+    the names that are new. The batch is parsed once and kept in the checkpoint
+    folder; the frames read it from there.
     """
-    return load_parsed(cut(check_batch(batch)), vendors, stores, invoices)
+    return load_parsed(cut(check_batch(batch).withColumn(ROW, F.monotonically_increasing_id())), vendors, stores, invoices, manufacturers)
 
 
 def check_batch(batch: DataFrame) -> DataFrame:
@@ -156,27 +165,37 @@ def check_batch(batch: DataFrame) -> DataFrame:
     return invoice_warnings(parse_extractions(batch))
 
 
-def load_parsed(parsed: DataFrame, vendors: DataFrame, stores: DataFrame, invoices: DataFrame) -> Ingested:
+def load_parsed(
+    parsed: DataFrame, vendors: DataFrame, stores: DataFrame, invoices: DataFrame, manufacturers: DataFrame | None = None
+) -> Ingested:
     """:func:`ingest` from checked records."""
-    good = parsed.where(F.col("reject_reason").isNull())
+    if ROW not in parsed.columns:
+        parsed = cut(parsed.withColumn(ROW, F.monotonically_increasing_id()))
+    arrival = [F.col("received_at").isNull(), F.col("received_at")] if "received_at" in parsed.columns else []
+    order = F.struct(*(c.alias(f"o{i}") for i, c in enumerate([*arrival, F.col("file_id").isNull(), F.col("file_id"), F.col(ROW)])))
+    good = parsed.where(F.col("reject_reason").isNull()).withColumn("_at", order)
     nits = good.select(F.col("vendor.nit").alias("nit"), F.col("vendor.name").alias("name"),
-                       F.col("vendor.address").alias("address"), F.col("vendor.phone").alias("phone"),
-                       F.col("file_id").alias("_at"))
+                       F.col("vendor.address").alias("address"), F.col("vendor.phone").alias("phone"), "_at")
     created = new_rows(vendors, nits, ["nit"], F.col("_at")).drop("_at").withColumn("id", natural_id("nit"))
     known = vendors.select(F.col("id").alias("vendor_id"), "nit").unionByName(
         created.select(F.col("id").alias("vendor_id"), "nit"))
-    found = find_stores(good.select(F.col("store.name").alias("name")), stores)
-    placed = good.withColumn("nit", F.col("vendor.nit")).join(known, "nit").withColumn("_store", F.col("store.name"))
-    placed = lookup(placed, found.select(F.col("name").alias("_store"), "store_id"), "_store", "file_id").drop("_store")
-    winners = new_rows(invoices, placed.select("vendor_id", "invoice_number", "file_id"),
-                       ["vendor_id", "invoice_number"], F.col("file_id"))
-    loaded = placed.join(winners.select("file_id"), "file_id", "left_semi")
+    # one record of each (tax number, invoice number) before anything else is joined
+    reduced = _one_per_key(good.withColumn("nit", F.col("vendor.nit")), ["nit", "invoice_number"], F.col("_at"))
+    winners = new_rows(invoices, reduced.join(known, "nit"), ["vendor_id", "invoice_number"], F.col("_at"))
+    found = find_stores(winners.select(F.col("store.name").alias("name")), stores)
+    placed = winners.withColumn("_store", F.col("store.name"))
+    loaded = lookup(placed, found.select(F.col("name").alias("_store"), "store_id"), "_store", ROW).drop("_store")
     loaded = loaded.withColumn("invoice_id", natural_id("vendor_id", "invoice_number"))
     status = (
-        parsed.select("file_id", "reject_reason", "warnings", "confidence")
-        .join(winners.select("file_id", F.lit(True).alias("_new")), "file_id", "left")
+        parsed.select("file_id", "reject_reason", "warnings", "confidence", ROW)
+        .join(winners.select(ROW, F.lit(True).alias("_new")), ROW, "left")
         .withColumn("status", F.when(F.col("reject_reason").isNotNull(), "rejected")
                     .when(F.col("_new"), "processed").otherwise("duplicate"))
-        .drop("_new")
+        .drop("_new", ROW)
     )
-    return Ingested(created, invoice_headers(loaded), invoice_items(loaded), status)
+    items = invoice_items(loaded)
+    if manufacturers is None:
+        return Ingested(created, invoice_headers(loaded), items, status)
+    known_makers = manufacturers.select("id", "name")
+    after, items = get_or_create_manufacturers(known_makers, items)
+    return Ingested(created, invoice_headers(loaded), items, status, after.join(known_makers.select("name"), "name", "left_anti").select("id", "name"))

@@ -368,6 +368,42 @@ def ingest_pipeline(spark, sf):
     return result.status.select("file_id", "reject_reason", F.round("confidence", 6).alias("confidence"), "status")
 
 
+_ADDED = _INGEST_SQL[: _INGEST_SQL.index("SELECT s.file_id")]
+
+
+def _added(spark, sf):
+    vendors, stores_, loaded = _tables_before(spark, sf)
+    return load.ingest(extraction_json(spark, sf), vendors, stores_, loaded)
+
+
+@query("ingest_invoices", _ADDED + """
+SELECT r.file_id, r.invoice_number, r.nit, r.day AS invoice_date, r.total FROM records r JOIN first f ON f.file_id = r.file_id""")
+def ingest_invoices(spark, sf):
+    """The invoice rows that a batch adds, with the tax number from their stored record."""
+    rows = _added(spark, sf).invoices
+    nit = F.get_json_object("structured_data", "$.vendor.nit")
+    return rows.select(F.col("source_file_id").alias("file_id"), "invoice_number", nit.alias("nit"), "invoice_date", "total")
+
+
+@query("ingest_items", _ADDED + """
+SELECT r.file_id, CAST(row_number() OVER (PARTITION BY r.file_id ORDER BY g.line_number) AS INT) AS line_number, g.product_name,
+  CAST(g.kept_quantity AS DOUBLE) AS quantity, g.line_total
+FROM records r JOIN first f ON f.file_id = r.file_id JOIN good_lines g ON g.invoice_id = r.invoice_id""")
+def ingest_items(spark, sf):
+    """The item rows that a batch adds."""
+    result = _added(spark, sf)
+    invoices = result.invoices.select(F.col("id").alias("invoice_id"), F.col("source_file_id").alias("file_id"))
+    return result.items.join(invoices, "invoice_id").select(
+        "file_id", "line_number", F.col("vendor_product_name").alias("product_name"), "quantity", "line_total")
+
+
+@query("ingest_vendors", _ADDED + """
+SELECT DISTINCT nit FROM records WHERE reject_reason IS NULL AND nit NOT IN (SELECT nit FROM fx_vendors)""")
+def ingest_vendors(spark, sf):
+    """The vendors that a batch adds."""
+    return _added(spark, sf).vendors.select("nit")
+
+
 @query("store_contains", """
 SELECT q.name, (SELECT min(s.id) FROM fx_stores s WHERE contains(lower(s.name), lower(q.name))) AS store_id
 FROM (SELECT DISTINCT store_name AS name FROM fx_heads) q""")

@@ -118,6 +118,25 @@ def test_ingest(spark, tables):
     assert again.vendors.count() == again.invoices.count() == again.items.count() == 0
 
 
+def test_null_and_equal_file_ids(spark, tables):
+    """Records without a file id load each; of equal ids one does; ties are total."""
+    a, b, c = sample(invoice_number="A"), sample(invoice_number="B"), sample(invoice_number="C")
+    rows = [(None, a), (None, b), ("f", c), ("f", c), ("f", sample(invoice_number="C", total=SAMPLE["total"]))]
+    batch = spark.createDataFrame([(i, json.dumps(r)) for i, r in rows], "file_id string, extraction string")
+    makers = spark.createDataFrame([("m1", "Bindi")], "id string, name string")
+    out = load.ingest(batch, *tables, makers)
+    assert sorted(r.invoice_number for r in out.invoices.collect()) == ["A", "B", "C"]
+    assert len({r.id for r in out.invoices.collect()}) == 3 and out.items.count() == 3 * len(out.items.where(F.col("invoice_id") == out.invoices.first().id).collect())
+    assert sorted((str(r.file_id), r.status) for r in out.status.collect()) == [("None", "processed")] * 2 + [("f", "duplicate")] * 2 + [("f", "processed")]
+    assert "manufacturer_id" in out.items.columns and "Bindi" not in {r.name for r in out.manufacturers.collect()}
+
+
+def test_arrival_decides(spark, tables):
+    rows = [("a", "2024-01-02", sample(total=2.0)), ("b", "2024-01-01", sample(total=1.0)), ("0", None, sample(total=3.0))]
+    batch = spark.createDataFrame([(i, t, json.dumps(r)) for i, t, r in rows], "file_id string, received_at string, extraction string").withColumn("received_at", F.col("received_at").cast("timestamp"))
+    assert [r.source_file_id for r in load.ingest(batch, *tables).invoices.collect()] == ["b"]
+
+
 def test_vendor_get_or_create(spark):
     vendors = spark.createDataFrame([("v1", "A", "1")], "id string, name string, nit string")
     batch = spark.createDataFrame([("A new", "1", 1), ("B late", "2", 3), ("B", "2", 2)], "name string, nit string, seen int")
