@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cuadre.functions.text import effective_name, normalize_name, once, store_code_base
+from cuadre.functions.text import effective_name, normalize_name, once, store_code_base, strip
 from cuadre.operators.fuzzy import distinct_names, top_matches
 from cuadre.operators.load import _one_per_key
 from cuadre.schemas import natural_id
@@ -174,6 +174,10 @@ def nested_suggestions(suggestions: DataFrame) -> DataFrame:
 # ---- items to the master catalog -----------------------------------------
 
 
+#: The smallest score above zero: scores are rounded to one decimal.
+LOWEST = 0.1
+
+
 def catalog_scores(items: DataFrame, products: DataFrame, threshold: float = 80, keep_low: bool = False) -> DataFrame:
     """Best master product per distinct item name: (item_name, product_id, score).
 
@@ -189,7 +193,7 @@ def catalog_scores(items: DataFrame, products: DataFrame, threshold: float = 80,
         .withColumn("norm", normalize_name(F.col("item_name")))
     )
     catalog = products.select(F.col("id"), normalize_name(F.col("master_name")).alias("norm"))
-    best = top_matches(cut(distinct_names(todo)), cut(distinct_names(catalog, tie=F.col("id"))), 0.5 if keep_low else threshold)
+    best = top_matches(cut(distinct_names(todo)), cut(distinct_names(catalog, tie=F.col("id"))), LOWEST if keep_low else threshold)
     return todo.join(best.select(F.col("query").alias("norm"), F.col("tie").alias("product_id"), "score"), "norm", "left").select(
         "item_name", "product_id", "score")
 
@@ -254,7 +258,7 @@ def catalog_stats(split: DataFrame, listed: DataFrame | None = None) -> DataFram
     created = F.count_if("is_new")
     skipped = F.count_if(~F.col("is_new"))
     if listed is not None:
-        blank = listed.agg(F.count_if(F.coalesce(F.trim("name"), F.lit("")) == "")).scalar()
+        blank = listed.agg(F.count_if(F.coalesce(strip(F.col("name")), F.lit("")).isin("", "nan"))).scalar()
         skipped = skipped + blank
     return split.agg(created.alias("created"), F.lit(0).cast("bigint").alias("mapped"), skipped.alias("skipped"))
 

@@ -275,23 +275,14 @@ def page_info(invoices: DataFrame, page: int = 1, page_size: int = 20) -> DataFr
                         F.ceil(total / page_size).alias("pages"))
 
 
-def invoice_nested(
-    invoices: DataFrame, items: DataFrame, vendors: DataFrame, stores: DataFrame, part_items: int = 10_000
-) -> DataFrame:
-    """Invoices with vendor and store structs and the items array by line number.
-
-    An array holds at most ``part_items`` items; a longer invoice continues in
-    further rows (``part`` 1, 2, ...), so no group grows without bound.
-    """
+def invoice_nested(invoices: DataFrame, items: DataFrame, vendors: DataFrame, stores: DataFrame) -> DataFrame:
+    """One row per invoice with vendor and store structs and all its items by line number."""
     item = F.struct("line_number", *[c for c in items.columns if c not in ("line_number", "invoice_id")])
-    part = F.floor((F.col("line_number") - 1) / part_items).cast("int")
-    lists = items.groupBy(F.col("invoice_id").alias("id"), part.alias("part")).agg(
-        F.array_sort(F.collect_list(item)).alias("items"))
+    lists = items.groupBy(F.col("invoice_id").alias("id")).agg(F.array_sort(F.collect_list(item)).alias("items"))
     v = vendors.select(F.col("id").alias("vendor_id"), F.struct("name", "nit").alias("vendor"))
     s = stores.select(F.col("id").alias("store_id"), F.struct("name", "code").alias("store"))
     return (
         lookup(invoices.join(v, "vendor_id", "left"), s, "store_id").join(lists, "id", "left")
-        .withColumn("part", F.coalesce("part", F.lit(0)))
         .withColumn("items", F.coalesce("items", F.array().cast(lists.schema["items"].dataType)))
     )
 

@@ -11,14 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only when neither that
-    setting nor a checkpoint directory exists (tests, a laptop) is a scratch
-    folder made.
+    The cluster names it in ``spark.checkpoint.dir``. Only on a local master (tests,
+    a laptop), and when neither that setting nor a checkpoint directory exists, is a
+    scratch folder made: on a cluster executors would not see each other's files.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="run-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(current)

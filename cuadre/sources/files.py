@@ -10,18 +10,20 @@ from cuadre.functions.text import INVOICE_EXTENSIONS, file_extension, media_type
 
 
 def list_files(spark: SparkSession, folders: list[str], extensions: list[str] | None = None) -> DataFrame:
-    """Files of several folders with id, name, type, size and time; contents are not read."""
-    wanted = "*.{" + ",".join(x for e in (extensions or INVOICE_EXTENSIONS) for x in (e, e.upper())) + "}"
+    """Files directly in several folders with id, name, type, size and time, newest first.
+
+    Contents are not read; the case of an extension does not matter.
+    """
+    wanted = [e.lower() for e in (extensions or INVOICE_EXTENSIONS)]
 
     def one(folder: str) -> DataFrame:
-        files = (spark.read.format("binaryFile").option("pathGlobFilter", wanted)
-                 .option("recursiveFileLookup", True).load(folder))
-        return files.select(
+        files = spark.read.format("binaryFile").load(folder)
+        return files.where(file_extension(F.col("path")).isin(wanted)).select(
             F.col("path").alias("id"), F.element_at(F.split("path", "/"), -1).alias("name"),
             F.when(file_extension(F.col("path")) == "pdf", "application/pdf").otherwise(media_type(F.col("path"))).alias("mime_type"),
             F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), F.lit(folder).alias("folder_id"))
 
-    return reduce(DataFrame.unionByName, [one(f) for f in folders])
+    return reduce(DataFrame.unionByName, [one(f) for f in folders]).orderBy(F.col("modified_at").desc(), "id")
 
 
 def new_files(listing: DataFrame, invoices: DataFrame) -> DataFrame:

@@ -53,12 +53,14 @@ def test_fact_and_views(spark):
     assert ("date_from", "2024-12-30") in options
 
 
-def test_nested_splits_long_invoices(spark):
+def test_nested_keeps_long_invoices_whole(spark):
     vendors, stores, _, invoices, items = tables(spark)
-    whole = reports.invoice_nested(invoices, items, vendors, stores).where("id = 'i1'").collect()
-    assert len(whole) == 1 and [i.line_number for i in whole[0]["items"]] == [1, 2]
-    split = reports.invoice_nested(invoices, items, vendors, stores, part_items=1)
-    assert sorted((r.id, r.part, len(r["items"])) for r in split.collect()) == [("i1", 0, 1), ("i1", 1, 1), ("i2", 0, 0)]
+    rows = {r.id: r["items"] for r in reports.invoice_nested(invoices, items, vendors, stores).collect()}
+    assert [i.line_number for i in rows["i1"]] == [1, 2] and rows["i2"] == []
+    one = items.where("invoice_id = 'i1' AND line_number = 1")
+    many = one.drop("line_number").withColumn("line_number", F.explode(F.sequence(F.lit(1), F.lit(10_001)))).select(*items.columns)
+    whole = reports.invoice_nested(invoices, many, vendors, stores).where("id = 'i1'").collect()
+    assert len(whole) == 1 and len(whole[0]["items"]) == 10_001
 
 
 def test_page_and_filters(spark):
@@ -79,6 +81,8 @@ def test_report_sheet_and_export(spark, tmp_path):
     assert sheet.columns[0] == "⚠️ Alerta" and sheet.columns.index("Precio Acordado") + 1 == sheet.columns.index("Precio por Case")
     sinks.write_report(sheet, str(tmp_path / "csv"))
     back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
+    files = list((tmp_path / "csv").glob("*/*.csv"))
+    assert files and all(f.read_text().split("\n")[0].split(",") == sheet.columns for f in files)
     assert back.count() == 2 and back.where(F.col("`⚠️ Alerta`") == reports.HIGH_PRICE).count() == 1
 
 

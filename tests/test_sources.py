@@ -55,12 +55,14 @@ def test_product_master(spark, tmp_path):
 
 
 def test_file_listing(spark, tmp_path):
-    for folder, name in (("a", "x.PDF"), ("a", "y.png"), ("b", "z.jpeg"), ("b", "n.txt")):
-        (tmp_path / folder).mkdir(exist_ok=True)
+    for folder, name in (("a", "x.PDF"), ("a", "y.png"), ("b", "z.jpeg"), ("b", "n.txt"), ("b", "w.Pdf"), ("b/sub", "v.pdf")):
+        (tmp_path / folder).mkdir(exist_ok=True, parents=True)
         (tmp_path / folder / name).write_bytes(b"123")
     listed = files.list_files(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
     rows = {r.name: r for r in listed.collect()}
-    assert rows.keys() == {"x.PDF", "y.png", "z.jpeg"}
+    assert rows.keys() == {"x.PDF", "y.png", "z.jpeg", "w.Pdf"}, "any case, no subfolders"
     assert rows["x.PDF"].mime_type == "application/pdf" and rows["y.png"].mime_type == "image/png" and rows["y.png"].size == 3
     done = spark.createDataFrame([(rows["y.png"].id,), (None,)], "source_file_id string")
-    assert {r.name for r in files.new_files(listed, done).collect()} == {"x.PDF", "z.jpeg"}
+    assert {r.name for r in files.new_files(listed, done).collect()} == {"x.PDF", "z.jpeg", "w.Pdf"}
+    times = [r.modified_at for r in listed.collect()]
+    assert times == sorted(times, reverse=True)
