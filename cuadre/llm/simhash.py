@@ -25,7 +25,8 @@ BITS, SHINGLE, BUDGET, SEED = 64, 3, 2, 42
 #: Fingerprints in a subtree where Spark hands over to the task, on average at most, and the
 #: largest product of two subtrees' sizes that one task takes; larger pairs are split further.
 SUBTREE, PRODUCT = 1024, 1 << 24
-#: Bits that one split adds.
+#: Bits that one split adds. Pairs are split only far beyond the average size: splitting the average
+#: pair would make a hundred times as many groups, each of a few fingerprints.
 STEP = 4
 #: Node pairs that a task holds at a level; more are traversed one part after the other.
 FRONTIER = 1 << 19
