@@ -159,20 +159,19 @@ def report_filter(
 def filter_options(fact: DataFrame) -> DataFrame:
     """Pick-lists: (filter, position, option), plus the first and last date.
 
-    One pass: each row offers its four values and the map side keeps them distinct.
+    One pass over the rows and one aggregation: each row offers its values and the entry for
+    all, the map side keeps them distinct, and all dates share one group of their own.
     """
-    offers = F.explode(F.array(*[
-        F.struct(F.lit(n).alias("filter"), F.col(n).alias("option")) for n in ("distributor", "store", "status", "date")
-    ]))
-    seen = fact.select(offers.alias("o")).select("o.*").where(F.col("option").isNotNull()).distinct()
-    days = F.col("filter") == "date"
-    lists = seen.where(~days)
-    every = lists.select("filter", F.lit(ALL).alias("option")).distinct()
-    bounds = seen.where(days).agg(F.min("option").alias("a"), F.max("option").alias("b")).select(
-        F.explode(F.array(F.struct(F.lit("date_from").alias("filter"), F.col("a").alias("option")),
-                          F.struct(F.lit("date_to").alias("filter"), F.col("b").alias("option")))).alias("o")).select("o.*")
-    return lists.unionByName(every).unionByName(bounds).select("filter", "option").orderBy(
-        "filter", F.col("option") != ALL, "option")
+    names = ("distributor", "store", "status")
+    offers = [F.struct(F.lit(n).alias("filter"), F.col(n).alias("option")) for n in (*names, "date")]
+    offers += [F.struct(F.lit(n).alias("filter"), F.lit(ALL).alias("option")) for n in names]
+    seen = fact.select(F.explode(F.array(*offers)).alias("o")).select("o.*").where(F.col("option").isNotNull())
+    listed = F.when(F.col("filter") != "date", F.col("option"))
+    found = seen.groupBy("filter", listed.alias("listed")).agg(F.min("option").alias("first"), F.max("option").alias("last"))
+    entry = lambda name, option: F.struct(name.alias("filter"), option.alias("option"))
+    entries = F.when(F.col("filter") != "date", F.array(entry(F.col("filter"), F.col("first")))).otherwise(
+        F.array(entry(F.lit("date_from"), F.col("first")), entry(F.lit("date_to"), F.col("last"))))
+    return found.select(F.explode_outer(entries).alias("e")).select("e.*").orderBy("filter", F.col("option") != ALL, "option")
 
 
 def report_metrics(fact: DataFrame) -> DataFrame:

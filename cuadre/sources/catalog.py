@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cuadre.functions.text import strip
@@ -38,36 +41,51 @@ def vendor_tag(file_name: Column) -> Column:
     return tag
 
 
-def read_catalog(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame | None:
-    """Raw (code, item, file_name, vendor) rows of catalog files with one common header.
-
-    All columns are read as text: codes keep their leading zeros. Returns None
-    when the header fits no layout. Spark names repeated and empty headers
-    apart, so they do no harm.
-    """
-    raw = (
+def _raw(spark: SparkSession, paths: str | list[str], pattern: str = "*.csv") -> DataFrame:
+    """All columns as text: codes keep their leading zeros, values their blanks."""
+    return (
         spark.read.option("header", True).option("multiLine", True).option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-        .option("pathGlobFilter", pattern).csv(path)
+        .option("pathGlobFilter", pattern).csv(paths)
     )
-    layout = detect_layout(raw.columns)
-    if layout is None:
-        return None
+
+
+def file_headers(spark: SparkSession, path: str, pattern: str = "*.csv") -> dict[str, list[str]]:
+    """First line -> the files that begin with it, in path order. One line per file reaches the driver."""
+    lines = spark.read.option("pathGlobFilter", pattern).text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"))
+    first = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "place").alias("line"))
+    found: dict[str, list[str]] = {}
+    for row in first.orderBy("file").collect():
+        found.setdefault(row["line"], []).append(unquote(row["file"]))
+    return found
+
+
+def read_catalog(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame | None:
+    """Raw (code, item, file_name, vendor) rows of the catalog files of a folder.
+
+    Each file is read by its own header; files whose header fits no layout are left
+    out, and None is returned when that leaves none. Files with equal headers are one
+    scan. Spark names repeated and empty headers apart, so they do no harm.
+    """
     name = F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1)
-    return raw.select(
-        F.col(f"`{layout[0]}`").alias("code"), F.col(f"`{layout[1]}`").alias("item"),
-        F.url_decode(name).alias("file_name"), vendor_tag(name).alias("vendor"))
+    frames = []
+    for paths in file_headers(spark, path, pattern).values():
+        raw = _raw(spark, paths)
+        if (layout := detect_layout(raw.columns)) is not None:
+            frames.append(raw.select(
+                F.col(f"`{layout[0]}`").alias("code"), F.col(f"`{layout[1]}`").alias("item"),
+                F.url_decode(name).alias("file_name"), vendor_tag(name).alias("vendor")))
+    return reduce(DataFrame.unionByName, frames) if frames else None
 
 
 def read_catalogs(spark: SparkSession, paths: list[tuple[str, str]]) -> DataFrame:
-    """The union of several (folder, file pattern) groups; groups without a known layout are left out."""
+    """The union of several (folder, file pattern) groups; files without a known layout are left out."""
     frames = [f for f in (read_catalog(spark, p, g) for p, g in paths) if f is not None]
     if not frames:
         raise ValueError("no catalog with a known layout")
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
+    return reduce(DataFrame.unionByName, frames)
 
 
 def distinct_products(catalog: DataFrame) -> DataFrame:

@@ -4,11 +4,18 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from cuadre.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: Queries that are compared with sequential versions elsewhere.
+UNCHECKED = {
+    "file_listing", "similar_products", "similar_stores", "normalization_suggestions", "catalog_map", "mapping_stats", "sku_mapping", "catalog_new_products", "catalog_stats", "store_backfill",
+}
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -22,12 +29,13 @@ def rows(columns, data):
     return [columns[i] for i in order], sorted((tuple(r[i] for i in order) for r in data), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     got = [tuple(r) for r in df.collect()]
     sql = entry.oracle_sql().get(name)
     if sql is None:
+        assert name in UNCHECKED and got, "a query without SQL needs a comparison of its own"
         return
     cursor = duck.execute(sql)
     expected = cursor.fetchall()

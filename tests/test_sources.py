@@ -30,6 +30,13 @@ def test_catalogs(spark, tmp_path):
     assert catalog.read_catalog(spark, path, "*notes*.csv") is None
 
 
+def test_each_file_by_its_own_header(spark, tmp_path):
+    for name, body in (("1.csv", "Code,Item ,Group\n1,Cake,g\n"), ("2.csv", "Price,Items,Description \n9,2,Pie\n"), ("3.csv", "foo,bar\n3,4\n")):
+        (tmp_path / name).write_text(body)
+    rows = catalog.read_catalogs(spark, [(str(tmp_path), "*.csv")]).collect()
+    assert sorted((r.code, r.item) for r in rows) == [("1", "Cake"), ("2", "Pie")]
+
+
 def test_layouts():
     assert catalog.detect_layout(["Code", "Item ", "Items"]) == ("Code", "Item ")
     assert catalog.detect_layout(["Items", "Description "]) == ("Items", "Description ")
