@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuadre.llm import maxent, neighbours, packing, quality, secret_scan, sharding, simhash, simple8b, templates, urls
+from cuadre.llm import checks, maxent, neighbours, packing, quality, secret_scan, sharding, simhash, simple8b, templates, urls
 from cuadre.llm.common import table
 from cuadre.llm.registry import CHECKS, QUERIES, query
 from cuadre.session import scratch_path
@@ -34,7 +34,7 @@ def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("fp")
 
 
-@query("op2_host_reputation")
+@query("op2_host_reputation", checks.HOST_REPUTATION)
 def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 

@@ -232,3 +232,16 @@ def test_reparameterised(spark, monkeypatch, limit):
     assert (3, 10) not in got, "12 and Alice stand for two values each"
     assert got[7, 11] == (0, 0)
     assert set(got) == {(1, 10), (2, 10), (None, 10), (7, 11)}
+
+
+def test_urls_against_sql(spark):
+    import duckdb
+
+    from cuadre.llm.queries import CHECKS, QUERIES
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW pages AS SELECT * FROM '/root/testdata/sf0.01/pages.parquet'")
+    cursor = con.execute(CHECKS["op2_host_reputation"])
+    df = QUERIES["op2_host_reputation"](spark, "/root/testdata/sf0.01")
+    assert [c[0] for c in cursor.description] == df.columns
+    assert sorted(cursor.fetchall(), key=str) == sorted((tuple(r) for r in df.collect()), key=str)
