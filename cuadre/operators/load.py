@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cuadre.functions.manufacturer import manufacturer_row
+from cuadre.functions.text import text_guard
 from cuadre.operators.extraction import invoice_warnings, parse_extractions
 from cuadre.operators.joins import lookup
 from cuadre.operators.stores import find_stores
@@ -102,14 +103,18 @@ def apply_corrections(invoices: DataFrame, corrections: DataFrame, fields: Seque
 
 
 def invoice_headers(records: DataFrame) -> DataFrame:
-    """Invoice rows from accepted records. A subtotal or tax of 0 becomes null."""
+    """Invoice rows from accepted records. A subtotal or tax of 0 becomes null.
+
+    The path and the text of the source are kept where the records have them.
+    """
+    source = [F.col(c) for c in ("source_file_path", "raw_ocr_text") if c in records.columns]
     return records.select(
         natural_id("vendor_id", "invoice_number").alias("id"),
         "invoice_number", "vendor_id", "store_id", "invoice_date", "due_date",
         F.nullif("subtotal", F.lit(0.0)).alias("subtotal"),
         F.nullif("tax", F.lit(0.0)).alias("tax"),
         "total",
-        F.col("file_id").alias("source_file_id"),
+        F.col("file_id").alias("source_file_id"), *source,
         F.col("confidence").alias("confidence_score"),
         F.lit("processed").alias("processing_status"),
         F.to_json(F.struct("vendor", "store", "items"), {"ignoreNullFields": "false"}).alias("structured_data"),
@@ -161,8 +166,15 @@ def ingest(
 
 
 def check_batch(batch: DataFrame) -> DataFrame:
-    """Parsed records of a batch with reject reason, confidence and warnings."""
-    return invoice_warnings(parse_extractions(batch))
+    """Parsed records of a batch with reject reason, confidence and warnings.
+
+    With ``raw_ocr_text`` in the batch, a text that is too short to extract from is the first reason.
+    """
+    checked = invoice_warnings(parse_extractions(batch))
+    if "raw_ocr_text" not in batch.columns:
+        return checked
+    short = F.when(~F.coalesce(text_guard(F.col("raw_ocr_text")), F.lit(False)), "text_too_short")
+    return checked.withColumn("reject_reason", F.coalesce(short, "reject_reason"))
 
 
 def load_parsed(

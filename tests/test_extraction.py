@@ -131,6 +131,14 @@ def test_null_and_equal_file_ids(spark, tables):
     assert "manufacturer_id" in out.items.columns and "Bindi" not in {r.name for r in out.manufacturers.collect()}
 
 
+def test_text_guard_and_source_columns(spark, tables):
+    rows = [("a", json.dumps(sample(invoice_number="A")), "x" * 500, "/in/a.pdf"), ("b", json.dumps(sample(invoice_number="B")), "x", "/in/b.pdf"), ("c", json.dumps(sample(invoice_number="C")), None, None)]
+    batch = spark.createDataFrame(rows, "file_id string, extraction string, raw_ocr_text string, source_file_path string")
+    out = load.ingest(batch, *tables)
+    assert [(r.source_file_path, len(r.raw_ocr_text)) for r in out.invoices.collect()] == [("/in/a.pdf", 500)]
+    assert {r.file_id: r.reject_reason for r in out.status.collect()} == {"a": None, "b": "text_too_short", "c": "text_too_short"}
+
+
 def test_arrival_decides(spark, tables):
     rows = [("a", "2024-01-02", sample(total=2.0)), ("b", "2024-01-01", sample(total=1.0)), ("0", None, sample(total=3.0))]
     batch = spark.createDataFrame([(i, t, json.dumps(r)) for i, t, r in rows], "file_id string, received_at string, extraction string").withColumn("received_at", F.col("received_at").cast("timestamp"))
