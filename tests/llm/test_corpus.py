@@ -93,7 +93,7 @@ def test_maxent(request, name):
 
 def test_words_beyond_the_head_meet_their_counts(documents):
     whole = {r["doc_id"]: r for r in maxent.score(documents).collect()}
-    for r in maxent.score(documents, head=100).collect():
+    for r in maxent.score(documents, head=100).collect():  # fewer: whole steps of the count
         w = whole[r["doc_id"]]
         assert tuple(r)[:5] == tuple(w)[:5] and abs(r["base_score"] - w["base_score"]) < 1e-6
 
@@ -252,3 +252,23 @@ def test_pipeline_of_no_and_odd_documents(spark, no_documents, odd_documents):
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
+
+
+CONTRACTS = {
+    1: ["doc_id", "start", "n_tokens", "ids_crc32"], 2: ["page_id", "host", "path", "rule", "verdict"], 3: ["doc_id", "held_out", "score", "predicted"],
+    4: ["doc_id", "fingerprint", "component_id"], 5: ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+    6: ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"], 7: ["query_id", "rank", "vec_id", "score"],
+    8: ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+    9: ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"], 10: ["doc_id", "item_id", "n_windows"],
+}
+KINDS = {"start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint", "held_out": "boolean", "score": "double", "predicted": "int", "piece": "int", "length": "bigint", "sequence_id": "bigint",
+         "offset": "bigint", "n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint", "rank": "int", "vec_id": "bigint", "query_id": "bigint", "n_known": "bigint", "train_tokens": "bigint",
+         "base_score": "double", "size": "bigint", "text_crc32": "bigint", "shard": "int", "slot": "bigint", "grown_shard": "int", "doc_id": "bigint"}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_columns(spark, name):
+    df = QUERIES[name](spark, SF)
+    wanted = CONTRACTS[int(name[2:].split("_")[0])]
+    assert df.columns[: len(wanted)] == wanted and df.count() >= 0
+    assert {c: k for c, k in df.dtypes if c in KINDS} == {c: KINDS[c] for c in wanted if c in KINDS}
