@@ -2,8 +2,8 @@
 
 Numbers, units after numbers and names become typed placeholders, words lose case and punctuation.
 Windows of ``WINDOW`` template words of the benchmark and of the documents meet in a hash join; a
-match counts only if, along one alignment, every benchmark value of a placeholder stands for one
-value of the document. So a question is also found with other numbers and names in it.
+match counts only if, within the window, every benchmark value of a placeholder stands for one value
+of the document; windows are counted along alignments. So a question is also found with other numbers and names in it.
 """
 
 from __future__ import annotations
@@ -87,7 +87,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") ->
     ``docs`` has ``key`` and ``text``, ``benchmark`` has ``item_id`` and ``text`` (null: empty); other
     columns are ignored. Rows with equal keys count as one document, a null key is a key. ``n_windows``:
     matching windows of the best alignment; ``n_slots``: placeholders in it with different benchmark
-    values; ``n_changed``: how many of them have another value in the document (0: verbatim but for
+    values; ``n_changed``: how many of them have another value in the document, at one place at least (0: verbatim but for
     case and punctuation). Items of fewer than ``SHORTEST`` words are not looked for. An empty table
     on either side gives no rows.
     """
@@ -114,14 +114,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") ->
     met = matches.groupBy("key", "item_id", "offset").agg(F.collect_set(F.struct("at", "pairs")).alias("met"))
     # equal hashes are checked: unmarked words agree, marked ones have the same mark
     agrees = lambda p: F.when(is_slot(p["item"]), F.left(p["item"], F.lit(1)) == F.left(p["doc"], F.lit(1))).otherwise(p["item"] == p["doc"])
-    real = met.select("key", "item_id", F.filter("met", lambda m: F.forall(m["pairs"], agrees)).alias("met")).filter(F.size("met") > 0)
+    # in a window, every benchmark value of a placeholder must stand for one value of the document; a slip
+    # elsewhere in the alignment does not undo a window
+    slots_of = lambda pairs: F.array_distinct(F.filter(pairs, lambda p: is_slot(p["item"])))
+    one_value = lambda pairs: F.size(slots_of(pairs)) == F.size(F.array_distinct(slots_of(pairs)["item"]))
+    real = met.select("key", "item_id", F.filter("met", lambda m: F.forall(m["pairs"], agrees) & one_value(m["pairs"])).alias("met")).filter(F.size("met") > 0)
     slots = F.array_distinct(F.flatten(F.transform("met", lambda m: F.filter(m["pairs"], lambda p: is_slot(p["item"])))))
     aligned = real.select("key", "item_id", F.size(F.array_distinct("met.at")).alias("n_windows"), slots.alias("slots"))
     values = F.size(F.array_distinct("slots.item"))
-    consistent = aligned.filter(F.size("slots") == values)
-    best = consistent.select(
-        "key", "item_id", "n_windows", values.alias("n_slots"), F.size(F.filter("slots", lambda p: p["item"] != p["doc"])).alias("n_changed")
-    )
+    changed = F.size(F.array_distinct(F.filter("slots", lambda p: p["item"] != p["doc"])["item"]))
+    best = aligned.select("key", "item_id", "n_windows", values.alias("n_slots"), changed.alias("n_changed"))
     rank = F.struct(F.col("n_windows"), (-F.col("n_changed")).alias("unchanged"), F.col("n_slots"))
     top = best.groupBy("key", "item_id").agg(F.max(rank).alias("b"))
     return top.select(F.col("key").alias(key), "item_id", F.col("b.n_windows").alias("n_windows"), F.col("b.n_slots").alias("n_slots"), (-F.col("b.unchanged")).alias("n_changed"))
