@@ -1,6 +1,7 @@
 """Benchmark decontamination by canonical templates (operator 10), in DataFrame functions only.
 
-Numbers, units after numbers and names become typed placeholders, words lose case and punctuation.
+Words lose case and punctuation; all windows of ``WINDOW`` plain words of the benchmark are looked for.
+Besides, numbers, units after numbers and names become typed placeholders.
 Windows of ``WINDOW`` template words of the benchmark and of the documents meet in a hash join; a
 match counts only if, within the window, every benchmark value of a placeholder stands for one value
 of the document; windows are counted along alignments. So a question is also found with other numbers and names in it.
@@ -30,15 +31,15 @@ UNITS = (
 def tokens(text: Column) -> Column:
     """Lower-case words; names, numbers and units carry their mark before the value.
 
-    A name is a capitalised word after a word or comma and a space, not at the start of a sentence.
+    A name is a capitalised word after a word or comma, white space and quotes, not at the start of a sentence.
     """
     marked = text
     for mark in (NAME, NUMBER, UNIT):
         marked = F.replace(marked, F.lit(mark), F.lit(" "))
-    marked = F.regexp_replace(marked, r" (?=\p{Lu}\p{Ll})(?<=[\p{Ll}\p{N},] )", f" {NAME}")
+    marked = F.regexp_replace(marked, r"(?<=[\p{Ll}\p{N},])(\s[\s\"'(\p{Pi}]*)(?=\p{Lu}\p{Ll})", f"$1{NAME}")
     marked = F.regexp_replace(marked, r"(\p{N})[.,](?=\p{N})", f"$1{POINT}")
     marked = F.regexp_replace(marked, rf"\p{{N}}[\p{{N}}{POINT}]*", f"{NUMBER}$0")
-    marked = F.regexp_replace(marked, rf"({NUMBER}[^\s]*?) ?({'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
+    marked = F.regexp_replace(marked, rf"({NUMBER}[^\s]*?)\s*((?i:{'|'.join(sorted(UNITS, key=len, reverse=True))}))(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
     return F.array_remove(F.split(F.lower(marked), rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}{NUMBER}{UNIT}{POINT}]+"), "")
 
 
@@ -51,6 +52,11 @@ def template(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(is_slot(w), F.left(w, F.lit(1))).otherwise(w))
 
 
+def value(word: Column) -> Column:
+    """The word without its mark."""
+    return F.when(is_slot(word), F.substring(word, 2, 1 << 30)).otherwise(word)
+
+
 def with_windows(df: DataFrame, canonical: str, width: int, out: str) -> DataFrame:
     """Adds the hashes of all windows of ``width`` words, in order.
 
@@ -68,17 +74,22 @@ def with_windows(df: DataFrame, canonical: str, width: int, out: str) -> DataFra
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """width, hash, item_id, at, item_words of each window with more words than placeholders."""
+    """width, hash, item_id, at, item_words: each window by its plain words, and by its template too if it
+    has placeholders, but more words than those."""
     items = benchmark.select("item_id", tokens(whole_text()).alias("words")).distinct()
     items = items.withColumn("width", F.least(F.size("words"), F.lit(WINDOW))).filter(F.col("width") >= SHORTEST)
-    items = items.withColumn("canonical", template(F.col("words")))
+    items = items.withColumn("canonical", template(F.col("words"))).withColumn("plain", F.transform("words", value))
     out = None
     for width in range(SHORTEST, WINDOW + 1):
-        cut = with_windows(items.filter(F.col("width") == width), "canonical", width, "hashes")
-        cut = cut.select("item_id", "width", "words", F.posexplode_outer("hashes").alias("at", "hash"))
-        cut = cut.select("width", "hash", "item_id", "at", F.slice("words", F.col("at") + 1, width).alias("item_words"))
-        out = cut if out is None else out.union(cut)
-    return out.filter("hash IS NOT NULL").filter(2 * F.size(F.filter("item_words", is_slot)) < F.col("width"))
+        for shape in ("plain", "canonical"):
+            cut = with_windows(items.filter(F.col("width") == width), shape, width, "hashes")
+            cut = cut.select("item_id", "width", "words", F.posexplode_outer("hashes").alias("at", "hash"))
+            cut = cut.select("width", "hash", "item_id", "at", F.slice("words", F.col("at") + 1, width).alias("item_words"))
+            if shape == "canonical":
+                slots = F.size(F.filter("item_words", is_slot))
+                cut = cut.filter((slots > 0) & (2 * slots < F.col("width")))
+            out = cut if out is None else out.union(cut)
+    return out.filter("hash IS NOT NULL")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -95,10 +106,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") ->
     widths = {r["width"]: r["n"] for r in wanted.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()}
     small = sum(widths.values()) <= BROADCAST_WINDOWS
     words = docs.select(F.col(key).alias("key"), tokens(whole_text()).alias("words"))
-    shaped = words.withColumn("canonical", F.when(F.exists("words", is_slot), template(F.col("words"))).otherwise(F.col("words")))
+    marked = F.exists("words", is_slot)
+    shaped = words.withColumn("plain", F.when(marked, F.transform("words", value)).otherwise(F.col("words")))
+    shaped = shaped.withColumn("canonical", F.when(marked, template(F.col("words"))).otherwise(F.array().cast("array<string>")))
     matches = None
     for width in sorted(widths) or [WINDOW]:
-        placed = with_windows(shaped, "canonical", width, "hashes").select("key", "words", F.posexplode_outer("hashes").alias("place", "hash"))
+        both = with_windows(with_windows(shaped, "plain", width, "hashes"), "canonical", width, "templates")
+        # a template's hash is looked up where it is not the plain words' one
+        others = F.zip_with("templates", "hashes", lambda t, h: F.when(t != h, t))
+        n = F.size("hashes")
+        looked = F.when(F.size("templates") > 0, F.concat("hashes", others)).otherwise(F.col("hashes"))
+        placed = both.select("key", "words", n.alias("n"), F.posexplode_outer(looked).alias("place", "hash"))
+        placed = placed.withColumn("place", F.when(F.col("place") < F.col("n"), F.col("place")).otherwise(F.col("place") - F.col("n"))).drop("n")
         if not small:  # the words of a window travel instead of the document's
             placed = placed.withColumn("words", F.slice("words", F.col("place") + 1, width)).withColumn("from", F.lit(1))
         else:
@@ -112,17 +131,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") ->
     # Whether the words agree is looked at after the aggregation: a lambda function in the join would
     # keep the join out of the generated code, and every exploded row would copy the document's words.
     met = matches.groupBy("key", "item_id", "offset").agg(F.collect_set(F.struct("at", "pairs")).alias("met"))
-    # equal hashes are checked: unmarked words agree, marked ones have the same mark
+    # equal hashes are checked: all words agree but for the marks, or else unmarked words agree and marked ones have the same mark
     agrees = lambda p: F.when(is_slot(p["item"]), F.left(p["item"], F.lit(1)) == F.left(p["doc"], F.lit(1))).otherwise(p["item"] == p["doc"])
+    same = lambda p: value(p["item"]) == value(p["doc"])
     # in a window, every benchmark value of a placeholder must stand for one value of the document; a slip
     # elsewhere in the alignment does not undo a window
-    slots_of = lambda pairs: F.array_distinct(F.filter(pairs, lambda p: is_slot(p["item"])))
+    slot = lambda p: F.struct(p["item"].alias("item"), value(p["doc"]).alias("doc"))
+    slots_of = lambda pairs: F.array_distinct(F.transform(F.filter(pairs, lambda p: is_slot(p["item"])), slot))
     one_value = lambda pairs: F.size(slots_of(pairs)) == F.size(F.array_distinct(slots_of(pairs)["item"]))
-    real = met.select("key", "item_id", F.filter("met", lambda m: F.forall(m["pairs"], agrees) & one_value(m["pairs"])).alias("met")).filter(F.size("met") > 0)
-    slots = F.array_distinct(F.flatten(F.transform("met", lambda m: F.filter(m["pairs"], lambda p: is_slot(p["item"])))))
+    counts = lambda m: F.forall(m["pairs"], same) | (F.forall(m["pairs"], agrees) & one_value(m["pairs"]))
+    real = met.select("key", "item_id", F.filter("met", counts).alias("met")).filter(F.size("met") > 0)
+    slots = F.array_distinct(F.flatten(F.transform("met", lambda m: slots_of(m["pairs"]))))
     aligned = real.select("key", "item_id", F.size(F.array_distinct("met.at")).alias("n_windows"), slots.alias("slots"))
     values = F.size(F.array_distinct("slots.item"))
-    changed = F.size(F.array_distinct(F.filter("slots", lambda p: p["item"] != p["doc"])["item"]))
+    changed = F.size(F.array_distinct(F.filter("slots", lambda p: value(p["item"]) != p["doc"])["item"]))
     best = aligned.select("key", "item_id", "n_windows", values.alias("n_slots"), changed.alias("n_changed"))
     rank = F.struct(F.col("n_windows"), (-F.col("n_changed")).alias("unchanged"), F.col("n_slots"))
     top = best.groupBy("key", "item_id").agg(F.max(rank).alias("b"))
