@@ -195,6 +195,11 @@ def _members(classes: DataFrame, budget: int) -> DataFrame:
     return classes.join(components(found).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
+def first_of_components(classes: DataFrame, first: str, budget: int = BUDGET) -> DataFrame:
+    """The smallest ``first`` of each component of ``classes`` (distinct fp, ``first``); none of an empty table."""
+    return _members(classes, budget).groupBy("root").agg(F.min(first).alias(first)).select(first)
+
+
 def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """One row for each document: doc_id, fp (long), fingerprint (hex), component_id.
 
