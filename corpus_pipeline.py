@@ -1,4 +1,4 @@
-"""A corpus pipeline: quality classifier, near-dedup, decontamination, secret redaction, packing.
+"""A corpus pipeline: quality classifier, SimHash near-dedup, decontamination, secret redaction, packing.
 
 Each stage works on all that its predecessor kept, and is written as Parquet before the next one
 reads it. All but the last return the columns of ``documents``.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from cuadre.llm import packing, quality, resemblance, secret_scan, templates
+from cuadre.llm import packing, quality, secret_scan, simhash, templates
 from cuadre.llm.common import fresh, table, whole_text, written
 
 
@@ -19,25 +19,21 @@ def _identified(docs: DataFrame, name: str) -> DataFrame:
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go. Every row is judged for itself, repeated ones alike; a null text
+    counts as empty and is judged too. An empty table stays empty."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one of the smallest doc_id (null last), then
-    of the smallest digest; of repeated rows one. Linked are texts whose sets of five-word shingles have
-    a Jaccard similarity of 0.8 or more."""
+    """One document of each group of linked fingerprints (three-word shingles, at most two differing bits) stays: the
+    one of the smallest doc_id (null last), then of the smallest digest; of repeated rows one. Texts that are null,
+    empty or without words have one fingerprint and are one group. An empty table stays empty."""
     key = fresh(docs, "digest")
     marked = _identified(docs, key)
-    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), F.col(key).alias("digest"))
-    prints = written(marked.select(first.alias("first"), resemblance.sketch(whole_text()).alias("sketch")).select("first", "sketch.*"), "stage-prints")
-
-    def texts(wanted: DataFrame) -> DataFrame:
-        """Texts of the first documents of shapes; repeated rows give one."""
-        asked = wanted.select("shape", F.col("first.digest").alias(key)).hint("merge")
-        return marked.select(key, whole_text().alias("text")).join(asked, key).groupBy("shape").agg(F.first("text").alias("text"))
-
-    kept = resemblance.first_of_near(prints, "first", texts).select(F.col("first.digest").alias(key))
+    prints = written(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(key).alias("digest"), simhash.fingerprint_udf(whole_text()).alias("fp")), "stage-prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
+    classes = written(prints.groupBy("fp").agg(first.alias("first")), "stage-classes")
+    kept = simhash.first_of_components(classes, "first").select(F.col("first.digest").alias(key))
     # rows with equal digests are repeated rows: the join has brought them together, one of them stays
     copy = fresh(marked, "copy")
     number = F.row_number().over(Window.partitionBy(key).orderBy(key))
@@ -46,7 +42,8 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go that hold windows of a benchmark item, also with other numbers and names."""
+    """Documents go that hold windows of a benchmark item, also with other numbers and names. Null and empty texts hold
+    none and stay, as do repeated rows that hold none; with no benchmark items every row stays."""
     key = fresh(docs, "digest")
     marked = _identified(docs, key)
     hit = written(templates.contaminated(marked, table(spark, sf_dir, "benchmark"), key).select(key).distinct(), "stage-contaminated")
@@ -55,18 +52,19 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are replaced by a mark; every document stays."""
+    """Secrets in the texts are replaced by a mark; every row stays, a null text as null and an empty one as empty."""
     return secret_scan.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents with their place in sequences of 2,048 tokens."""
+    """The pieces of the documents with their place in sequences of 2,048 tokens. A null or empty text is one piece of
+    its end id, repeated rows are packed each for itself, and an empty table gives no pieces."""
     return packing.pack(docs, keep_ids=False).drop("ids")
 
 
 STAGES = [
     ("quality classifier", keep_good_quality),
-    ("near-dedup", keep_one_of_near_duplicates),
+    ("SimHash near-dedup", keep_one_of_near_duplicates),
     ("benchmark decontamination", drop_contaminated),
     ("secret scans", redact_secrets),
     ("best-fit packing", pack_sequences),
