@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cuadre.llm import checks, maxent, neighbours, packing, quality, secret_scan, sharding, simhash, simple8b, templates, urls
+from cuadre.llm import alignment, checks, languages, maxent, neighbours, packing, quality, secret_scan, sharding, simhash, simple8b, spelling, templates, urls
 from cuadre.llm.common import table
 from cuadre.llm.registry import CHECKS, QUERIES, query
 from cuadre.session import scratch_path
@@ -62,3 +62,20 @@ def op7_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_maxent_scoring")
 def op8_maxent_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score(table(spark, sf_dir, "documents"))
+
+
+@query("op11_spelling_variants")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling(table(spark, sf_dir, "documents"))
+
+
+@query("op12_language_spans")
+def op12_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = languages.identify(docs, languages.train(docs))
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+@query("op13_tokenizer_alignment")
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))

@@ -250,7 +250,7 @@ def test_pipeline_of_no_and_odd_documents(spark, no_documents, odd_documents):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
@@ -260,10 +260,13 @@ CONTRACTS = {
     6: ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"], 7: ["query_id", "rank", "vec_id", "score"],
     8: ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
     9: ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"], 10: ["doc_id", "item_id", "n_windows"],
+    11: ["word", "form", "root", "n", "n_near", "form_n"], 12: ["doc_id", "held_out", "lang_pred", "score"],
+    13: ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
 }
 KINDS = {"start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint", "held_out": "boolean", "score": "double", "predicted": "int", "piece": "int", "length": "bigint", "sequence_id": "bigint",
          "offset": "bigint", "n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint", "rank": "int", "vec_id": "bigint", "query_id": "bigint", "n_known": "bigint", "train_tokens": "bigint",
-         "base_score": "double", "size": "bigint", "text_crc32": "bigint", "shard": "int", "slot": "bigint", "grown_shard": "int", "doc_id": "bigint"}
+         "base_score": "double", "size": "bigint", "text_crc32": "bigint", "shard": "int", "slot": "bigint", "grown_shard": "int", "doc_id": "bigint", "n": "bigint",
+         "n_near": "bigint", "form_n": "bigint", "lang_pred": "string", "n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint", "n_best": "bigint", "count_sum": "bigint", "groups_sha256": "string"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
