@@ -61,6 +61,61 @@ scores AS (SELECT *, (2 * ratio + 2 * partial_ratio + 3 * token_sort + 3 * token
                        CASE WHEN i > 0 THEN round_even(200.0::DOUBLE * i / (2 * i + 1 + v), 0) ELSE 0 END) END AS token_set
   FROM parts p JOIN lengths n ON n.a = p.a AND n.b = p.b) t)"""
 
+_ALPHABET = " abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def best_scores_sql(threshold: float, k: int, scoped: bool = False) -> str:
+    """From ``pairs (a, b)`` (with ``scoped``: from ``scoped (scope, a, b)`` too) to ``scores (a, b, score)``: of every ``a`` (in every scope) all that reach the threshold and its ``k``-th best score.
+
+    In stages, each by an upper bound of the score: shared characters (three bits for each character, the rest
+    counted), then the parts without windows, then the windows of pairs that can still be among the best ``k``. A window
+    as long as the shorter name holds all of the common subsequence but at most the difference of the lengths.
+    Names up to 62 characters.
+    """
+    lcs = lambda x, y: f"""{x}.len - bit_count(list_reduce(list_transform({y}.codes, lambda c: {x}.masks[c]),
+        lambda v, k: ((v + (v & k)) | (v & ({x}.ones - k))) & {x}.ones, {x}.ones))"""
+    percent = lambda x, y: f"CASE WHEN {x}.len + {y}.len = 0 THEN 100.0 ELSE round_even(200.0::DOUBLE * ({lcs(x, y)}) / ({x}.len + {y}.len), 0) END"
+    strings = lambda name, source: f"""{name} AS MATERIALIZED (SELECT n, length(n) AS len, (CAST(1 AS BIGINT) << length(n)) - 1 AS ones,
+    list_transform(string_split('{_ALPHABET}', ''), lambda c: coalesce(list_sum(list_transform(list_filter(range(1, length(n) + 1),
+        lambda i: n[i] = c), lambda i: CAST(1 AS BIGINT) << CAST(i - 1 AS INT))), 0)::BIGINT) AS masks,
+    list_transform(range(1, length(n) + 1), lambda i: strpos('{_ALPHABET}', n[i])) AS codes FROM ({source}) d)"""
+    ranked, key = ("scoped JOIN based USING (a, b)", "scope, a") if scoped else ("based", "a")
+    return f"""
+sized AS (SELECT n, length(n) AS len, list_sum(list_transform(range(0, {len(_ALPHABET)}), lambda i:
+    ((CAST(1 AS HUGEINT) << CAST(least(length(n) - length(replace(n, substr('{_ALPHABET}', i + 1, 1), '')), 3) AS INT)) - 1) << CAST(3 * i AS INT)))::HUGEINT AS bits
+  FROM (SELECT a AS n FROM pairs UNION SELECT b FROM pairs) d),
+signed AS MATERIALIZED (SELECT n, len, bits, len - bit_count(bits) AS extra, list_sort(string_split(n, ' ')) AS words FROM sized),
+near AS MATERIALIZED (SELECT a, b, shared, wa, wb FROM (
+    SELECT a, b, x.len AS la, y.len AS lb, bit_count(x.bits & y.bits) + least(x.extra, y.extra) AS shared, x.words AS wa, y.words AS wb
+    FROM pairs JOIN signed x ON x.n = a JOIN signed y ON y.n = b) c
+  WHERE 100.0 * shared / (la + lb) + 40.0 * shared / (least(la, lb) + shared) + 30.5 >= {threshold}),
+sets AS MATERIALIZED (SELECT a, b, array_to_string(wa, ' ') AS sort_a, array_to_string(wb, ' ') AS sort_b,
+    array_to_string(list_sort(list_distinct(list_filter(wa, lambda t: list_contains(wb, t)))), ' ') AS common,
+    array_to_string(list_sort(list_distinct(list_filter(wa, lambda t: NOT list_contains(wb, t)))), ' ') AS only_a,
+    array_to_string(list_sort(list_distinct(list_filter(wb, lambda t: NOT list_contains(wa, t)))), ' ') AS only_b FROM near),
+{strings("strs", "SELECT unnest([a, b, sort_a, sort_b, only_a, only_b]) AS n FROM sets UNION SELECT ''")},
+parts AS MATERIALIZED (SELECT a, b, {percent("x", "y")} AS ratio, {percent("sx", "sy")} AS token_sort,
+    greatest({lcs("x", "y")} - abs(x.len - y.len), 0) * 100.0::DOUBLE / least(x.len, y.len) AS least_partial,
+    length(common) AS i, ux.len AS u, uy.len AS v, CASE WHEN common = '' THEN 0 ELSE 1 END AS g, {lcs("ux", "uy")} AS n_set
+  FROM sets JOIN strs x ON x.n = a JOIN strs y ON y.n = b JOIN strs sx ON sx.n = sort_a JOIN strs sy ON sy.n = sort_b
+  JOIN strs ux ON ux.n = only_a JOIN strs uy ON uy.n = only_b),
+based AS MATERIALIZED (SELECT a, b, round_even(least_partial, 0) AS least_partial, 2 * ratio + 3 * token_sort + 3 * CASE WHEN i > 0 AND (u = 0 OR v = 0) THEN 100.0::DOUBLE
+    ELSE greatest(round_even(100.0::DOUBLE * (2 * (i + g) + 2 * n_set) / (2 * (i + g) + u + v), 0),
+                  CASE WHEN i > 0 THEN round_even(200.0::DOUBLE * i / (2 * i + 1 + u), 0) ELSE 0 END,
+                  CASE WHEN i > 0 THEN round_even(200.0::DOUBLE * i / (2 * i + 1 + v), 0) ELSE 0 END) END AS base FROM parts),
+kept AS MATERIALIZED (SELECT DISTINCT a, b, base FROM {ranked} JOIN (SELECT {key}, max(base + 2 * least_partial, {k}) AS tops FROM {ranked} GROUP BY {key}) t USING ({key})
+  WHERE base + 200 >= {10 * threshold} AND base + 200 >= coalesce(tops[{k}], 0)),
+turned AS (SELECT a, b, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS s, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS l FROM kept
+  UNION SELECT a, b, b, a FROM kept WHERE length(a) = length(b)),
+windows AS MATERIALIZED (SELECT DISTINCT a, b, s, unnest(list_concat(
+    list_transform(range(1, length(l) - length(s) + 2), lambda i: substr(l, i, length(s))),
+    list_concat(list_transform(range(1, length(s)), lambda i: substr(l, 1, i)),
+                list_transform(range(1, length(s)), lambda i: right(l, i))))) AS w FROM turned),
+{strings("cuts", "SELECT s AS n FROM windows UNION SELECT w FROM windows")},
+best_window AS (SELECT a, b, max({percent("x", "y")}) AS partial FROM windows JOIN cuts x ON x.n = s JOIN cuts y ON y.n = w GROUP BY a, b),
+scores AS (SELECT a, b, (base + 2 * partial) / 10 AS score FROM kept JOIN best_window USING (a, b) WHERE (base + 2 * partial) / 10 >= {threshold})"""
+
+
 # each item name against the master name of its own part
 _OWN_NAMES = f"""
 names AS (SELECT DISTINCT i.vendor_product_name AS item_name, p.master_name FROM fx_items i JOIN fx_products p
@@ -91,7 +146,14 @@ _part("similarity_scores", "score")
 # ---- similar names ---------------------------------------------------------
 
 
-@query("similar_products")
+@query("similar_products", f"""WITH asked AS (SELECT DISTINCT master_name AS name, {_norm('master_name')} AS a FROM fx_products),
+sold AS (SELECT DISTINCT vendor_product_name AS product_name, vendor_id, {_norm('vendor_product_name')} AS b FROM fx_items),
+pairs AS (SELECT x.a, y.b FROM (SELECT DISTINCT a FROM asked WHERE a <> '') x, (SELECT DISTINCT b FROM sold WHERE b <> '') y),
+{best_scores_sql(70, 5)}
+SELECT name, product_name, vendor_id, similarity_score, CAST(rank AS INT) AS rank FROM (
+  SELECT name, product_name, vendor_id, score AS similarity_score,
+    row_number() OVER (PARTITION BY name ORDER BY score DESC, product_name, vendor_id) AS rank
+  FROM scores JOIN asked USING (a) JOIN sold USING (b)) r WHERE rank <= 5""")
 def similar_products(spark, sf):
     """For every master product, the five most similar names on invoices."""
     asked = view(spark, sf, "fx_products").select(F.col("master_name").alias("name"))
@@ -117,7 +179,14 @@ def similar_vendors(spark, sf):
     return normalize.similar_vendors(asked, vendors.select("id", "name", "nit"))
 
 
-@query("similar_stores")
+@query("similar_stores", f"""WITH asked AS (SELECT DISTINCT store_name AS name, {_norm('store_name')} AS a FROM fx_heads),
+pool AS (SELECT id AS store_id, name AS store_name, code AS store_code, {_norm('name')} AS b FROM fx_stores),
+pairs AS (SELECT x.a, y.b FROM (SELECT DISTINCT a FROM asked WHERE a <> '') x, (SELECT DISTINCT b FROM pool WHERE b <> '') y),
+{best_scores_sql(70, 5)}
+SELECT name, store_id, store_name, store_code, similarity_score, CAST(rank AS INT) AS rank FROM (
+  SELECT name, store_id, store_name, store_code, score AS similarity_score,
+    row_number() OVER (PARTITION BY name ORDER BY score DESC, store_name, store_id) AS rank
+  FROM scores JOIN asked USING (a) JOIN pool USING (b)) r WHERE rank <= 5""")
 def similar_stores(spark, sf):
     """For every store name that files give, the five most similar stores."""
     asked = view(spark, sf, "fx_heads").select(F.col("store_name").alias("name"))
@@ -178,7 +247,18 @@ def unmapped_products(spark, sf):
     return normalize.unmapped_products(view(spark, sf, "fx_items"), _mappings(spark, sf))
 
 
-@query("normalization_suggestions")
+@query("normalization_suggestions", f"""WITH {_UNMAPPED},
+todo AS (SELECT vendor_product_name AS variant_name, vendor_id, item_count, {_norm('vendor_product_name')} AS a FROM unmapped),
+sold AS (SELECT DISTINCT vendor_product_name AS suggested_name, vendor_id, {_norm('vendor_product_name')} AS b FROM fx_items),
+scoped AS (SELECT DISTINCT vendor_id AS scope, a, b FROM todo JOIN sold USING (vendor_id) WHERE a <> '' AND b <> '' AND a <> b),
+pairs AS (SELECT DISTINCT a, b FROM scoped),
+{best_scores_sql(70, 3, scoped=True)},
+ranked AS (SELECT variant_name, vendor_id, item_count, suggested_name, score,
+    row_number() OVER (PARTITION BY variant_name, vendor_id ORDER BY score DESC, suggested_name) AS rank,
+    max(score) OVER (PARTITION BY variant_name, vendor_id) >= 95 AS auto_approve
+  FROM todo JOIN sold USING (vendor_id) JOIN scores USING (a, b))
+SELECT variant_name, vendor_id, v.name AS vendor_name, item_count, suggested_name, score AS similarity_score, CAST(rank AS INT) AS rank, auto_approve
+FROM ranked LEFT JOIN fx_vendors v ON v.id = vendor_id WHERE rank <= 3""")
 def normalization_suggestions(spark, sf):
     """The three most similar names of the same vendor for every product without mapping."""
     return normalize.normalization_suggestions(
@@ -233,7 +313,21 @@ def _items(spark: SparkSession, sf: str) -> DataFrame:
     return reports.with_manufacturer(view(spark, sf, "fx_items"))
 
 
-@query("catalog_map")
+# names of items without product, and the best master product of each name
+_OPEN = f"""{MAKERS_SQL},
+named AS (SELECT i.*, coalesce(nullif(m.product_name_clean, ''), i.vendor_product_name) AS item_name FROM fx_items i
+  JOIN makers m ON m.vendor_product_name = i.vendor_product_name),
+todo AS (SELECT DISTINCT item_name, {_norm('item_name')} AS a FROM named WHERE product_id IS NULL AND item_name NOT IN ('', 'NULL')),
+master AS (SELECT min(id) AS product_id, {_norm('master_name')} AS b FROM fx_products GROUP BY 2),
+pairs AS (SELECT x.a, y.b FROM (SELECT DISTINCT a FROM todo WHERE a <> '') x, (SELECT b FROM master WHERE b <> '') y),
+{best_scores_sql(80, 1)},
+best AS (SELECT a, max(score) AS score, arg_min(product_id, (-score, product_id)) AS found FROM scores JOIN master USING (b) GROUP BY a),
+mapped AS (SELECT item_name, found, score FROM todo JOIN best USING (a))"""
+
+
+@query("catalog_map", f"""WITH {_OPEN}
+SELECT n.id, coalesce(n.product_id, found) AS product_id, score AS match_score, matched
+FROM named n LEFT JOIN mapped m ON m.item_name = n.item_name AND n.product_id IS NULL""")
 def catalog_map(spark, sf):
     """Every item without product, with the best master product of at least 80."""
     items = _items(spark, sf)
@@ -241,14 +335,25 @@ def catalog_map(spark, sf):
         "id", "product_id", "match_score", "matched")
 
 
-@query("mapping_stats")
+# a score above zero is a shared character
+@query("mapping_stats", f"""WITH {_OPEN},
+touched AS (SELECT DISTINCT item_name FROM todo JOIN signed x ON x.n = a WHERE EXISTS (
+  SELECT 1 FROM master JOIN signed y ON y.n = b WHERE bit_count(x.bits & y.bits) > 0))
+SELECT count(*) FILTER (m.score IS NOT NULL) AS mapped, count(*) FILTER (m.score IS NULL) AS not_mapped,
+  count(*) FILTER (m.score IS NULL AND t.item_name IS NOT NULL) AS low_score
+FROM named n LEFT JOIN mapped m ON m.item_name = n.item_name LEFT JOIN touched t ON t.item_name = n.item_name WHERE n.product_id IS NULL""")
 def mapping_stats(spark, sf):
     items = cut(_items(spark, sf).select("product_id", "product_name_clean", "vendor_product_name"))
     scores = normalize.catalog_scores(items, view(spark, sf, "fx_products"), keep_low=True)
     return normalize.mapping_stats(items, scores)
 
 
-@query("sku_mapping")
+@query("sku_mapping", f"""WITH {_OPEN},
+known AS (SELECT vendor_id, vendor_sku, CAST(min(vendor_sku) AS BIGINT) AS sku FROM fx_items WHERE quantity > 30 AND vendor_sku IS NOT NULL GROUP BY 1, 2)
+SELECT n.id, coalesce(n.product_id, sku, found) AS product_id, CASE WHEN n.product_id IS NOT NULL THEN 'given' WHEN sku IS NOT NULL THEN 'sku'
+  WHEN found IS NOT NULL THEN 'fuzzy' ELSE 'manual_review' END AS mapping_source
+FROM named n LEFT JOIN known k ON k.vendor_id = n.vendor_id AND k.vendor_sku = n.vendor_sku
+LEFT JOIN mapped m ON m.item_name = n.item_name AND n.product_id IS NULL""")
 def sku_mapping(spark, sf):
     """Vendor codes of large deliveries are mapped; other items go by name."""
     items = _items(spark, sf)
@@ -257,7 +362,17 @@ def sku_mapping(spark, sf):
     return normalize.map_by_sku(items, mappings, view(spark, sf, "fx_products")).select("id", "product_id", "mapping_source")
 
 
-@query("catalog_new_products")
+_SPLIT = f"""{CATALOG_SQL},
+listed AS (SELECT trim(code) AS code, trim(item) AS name, {_norm('item')} AS a FROM (SELECT DISTINCT code, item FROM catalog) c WHERE item IS NOT NULL),
+pairs AS (SELECT x.a, y.b FROM (SELECT DISTINCT a FROM listed WHERE a <> '') x,
+  (SELECT DISTINCT {_norm('vendor_product_name')} AS b FROM fx_items) y WHERE b <> ''),
+{best_scores_sql(90, 1)},
+split AS (SELECT *, a NOT IN (SELECT a FROM scores) AS is_new FROM listed)"""
+
+
+@query("catalog_new_products", f"""WITH {_SPLIT}
+SELECT sha256(concat_ws(chr(1), name, coalesce(code, chr(0)), 'Unknown')) AS id, name AS normalized_name, code AS normalized_code, 'Unknown' AS category,
+  'From Unknown catalog' AS description, 'approved' AS status, 100.0::DOUBLE AS similarity_score FROM split WHERE is_new""")
 def catalog_new_products(spark, sf):
     """Catalog rows that no invoice item resembles, as normalized products with mappings."""
     listed = catalog_rows(spark, sf)
@@ -272,7 +387,10 @@ def catalog_rows(spark: SparkSession, sf: str) -> DataFrame:
     return distinct_products(read_catalogs(spark, sf))
 
 
-@query("catalog_stats")
+@query("catalog_stats", f"""WITH {_SPLIT}
+SELECT count(*) FILTER (is_new) AS created, CAST(0 AS BIGINT) AS mapped,
+  count(*) FILTER (NOT is_new) + (SELECT count(*) FROM (SELECT DISTINCT code, item FROM catalog) c WHERE coalesce(trim(item), '') IN ('', 'nan')) AS skipped
+FROM split""")
 def catalog_stats(spark, sf):
     raw = read_catalogs(spark, sf).select("vendor", "code", F.col("item").alias("name")).distinct()
     split = normalize.split_catalog(catalog_rows(spark, sf), view(spark, sf, "fx_items"))
