@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cuadre.functions.manufacturer import extract_manufacturer, manufacturer_row
 from cuadre.functions.text import confidence_pct, date_parts, effective_name
 from cuadre.operators.joins import lookup
+from cuadre.operators.paging import seek_page
 
 ALL = "Todos"
 HIGH_PRICE = "🔴 PRECIO ALTO"
@@ -258,11 +259,17 @@ def invoice_page(
     invoices: DataFrame, vendors: DataFrame, page: int = 1, page_size: int = 20,
     sort_by: str = "created_at", sort_order: str = "desc",
 ) -> DataFrame:
-    """One page of invoices with vendor name and tax number; ties sort by id."""
+    """One page of invoices with vendor name and tax number; ties sort by id.
+
+    Later pages are found by counting ranges of the sort key, see :mod:`cuadre.operators.paging`.
+    """
     if page < 1 or not 1 <= page_size <= 100 or sort_order not in ("asc", "desc"):
         raise ValueError("page >= 1, page_size 1..100, sort_order asc or desc")
     key = F.col(sort_by).desc() if sort_order == "desc" else F.col(sort_by).asc()
-    rows = invoices.orderBy(key, "id").offset((page - 1) * page_size).limit(page_size)
+    if page == 1:
+        rows = invoices.orderBy(key, "id").limit(page_size)
+    else:
+        rows = seek_page(invoices, page, page_size, sort_by, sort_order)
     v = vendors.select(F.col("id").alias("vendor_id"), F.col("name").alias("vendor_name"),
                        F.col("nit").alias("vendor_nit"))
     return rows.join(v, "vendor_id", "left").orderBy(key, "id")

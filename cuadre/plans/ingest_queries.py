@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cuadre.functions import text
-from cuadre.operators import extraction, load, normalize, reports, stores
+from cuadre.operators import cascade, extraction, load, normalize, reports, stores
 from cuadre.plans.fixtures import extraction_json, table, view
 from cuadre.plans.registry import query
 from cuadre.plans.report_queries import MAKERS_SQL
@@ -44,13 +44,18 @@ def new_files(spark, sf):
     return files.new_files(listing, view(spark, sf, "fx_invoices"))
 
 
-@query("file_listing")
+@query("file_listing", r"""
+SELECT regexp_replace(folder_id, '[^A-Za-z0-9]', '-', 'g') AS folder, CAST(NULL AS STRING) AS mime_type, CAST(1 AS BIGINT) AS files,
+  CAST(sum(octet_length(encode(id)) + 1) AS BIGINT) AS bytes FROM fx_files GROUP BY 1""")
 def file_listing(spark, sf):
-    """Files that Spark wrote from the extractions, listed without reading them."""
-    folder = scratch_path(spark, "listing")
-    extraction_json(spark, sf).write.json(folder)
-    listed = files.list_files(spark, [folder], ["json"])
-    return listed.agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    """Files that Spark wrote, one in each folder, listed without reading them."""
+    root = scratch_path(spark, "listing")
+    rows = view(spark, sf, "fx_files").select("id", F.regexp_replace("folder_id", "[^A-Za-z0-9]", "-").alias("folder"))
+    rows.repartition("folder").write.partitionBy("folder").text(root)
+    listed = files.list_files(spark, [f"{root}/folder=*"], ["txt"])
+    folder = F.regexp_extract("id", "/folder=([^/]+)/[^/]+$", 1)
+    return listed.where(F.endswith("id", F.concat(F.lit("/"), "name"))).groupBy(folder.alias("folder"), "mime_type").agg(
+        F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
 # ---- catalogs and prices ---------------------------------------------------
@@ -398,10 +403,76 @@ def ingest_items(spark, sf):
 
 
 @query("ingest_vendors", _ADDED + """
-SELECT DISTINCT nit FROM records WHERE reject_reason IS NULL AND nit NOT IN (SELECT nit FROM fx_vendors)""")
+SELECT sha256(nit) AS id, nit, arg_min(vendor_name, file_id) AS name FROM records
+WHERE reject_reason IS NULL AND nit NOT IN (SELECT nit FROM fx_vendors WHERE id % 3 <> 0) GROUP BY nit""")
 def ingest_vendors(spark, sf):
-    """The vendors that a batch adds."""
-    return _added(spark, sf).vendors.select("nit")
+    """The vendors that a batch adds to two thirds of them, as its first file of each names them."""
+    vendors, stores_, loaded = _tables_before(spark, sf)
+    known = vendors.join(view(spark, sf, "fx_vendors").where("id % 3 <> 0").select("nit"), "nit", "left_semi")
+    return load.ingest(extraction_json(spark, sf), known, stores_, loaded).vendors.select("id", "nit", "name")
+
+
+# some product names get a maker, and every 41st order's text is too short to extract from
+_MAKERS = """SELECT *, CASE WHEN suffix(product_name, 'd') THEN 'Bindi' WHEN suffix(product_name, 't') THEN 'Lavazza' END AS maker FROM good_lines"""
+
+
+@query("ingest_manufacturers", _ADDED.replace("WHERE reject_reason IS NULL AND NOT EXISTS", "WHERE reject_reason IS NULL AND o_orderkey % 41 <> 0 AND NOT EXISTS") + f"""
+SELECT maker AS name, CASE maker WHEN 'Bindi' THEN 'known' ELSE sha256(maker) END AS manufacturer_id, maker <> 'Bindi' AS is_new, count(*) AS items
+FROM first f JOIN records r ON r.file_id = f.file_id JOIN ({_MAKERS}) g ON g.invoice_id = r.invoice_id WHERE maker IS NOT NULL GROUP BY 1""")
+def ingest_manufacturers(spark, sf):
+    """The ingest stream with manufacturers and source texts: whom it adds, and the items that name them."""
+    named = F.regexp_replace("extraction", '("product_name":"[^"]*d)"', '$1 (Bindi)"')
+    named = F.regexp_replace(named, '("product_name":"[^"]*t)"', '$1 - Lavazza"')
+    order = F.regexp_extract("extraction", '"invoice_number":"FAC-([0-9]+)"', 1).cast("bigint")
+    lines = extraction_json(spark, sf).select(F.to_json(F.struct(
+        "file_id", F.lit("2024-01-01T00:00:00Z").alias("received_at"), named.alias("extraction"),
+        F.when(order % 41 == 0, " short ").otherwise("a text long enough").alias("raw_ocr_text"))).alias("value"))
+    path = scratch_path(spark, "drops")
+    lines.write.text(path)
+    known = spark.createDataFrame([("known", "Bindi")], "id string, name string")
+    vendors, stores_, loaded = (cut(t) for t in _tables_before(spark, sf))
+    root = scratch_path(spark, "tables")
+    source = streams.read_extractions(spark, path, source_text=True)
+    streams.stream_ingest(source, root, scratch_path(spark, "stream"), stores_, vendors, loaded, manufacturers=known).awaitTermination()
+    added = spark.read.parquet(f"{root}/manufacturers").select("name", F.lit(True).alias("is_new"))
+    items = spark.read.parquet(f"{root}/items").where("manufacturer_name IS NOT NULL")
+    counted = items.groupBy(F.col("manufacturer_name").alias("name"), "manufacturer_id").agg(F.count("*").alias("items"))
+    return counted.join(added, "name", "left").select("name", "manufacturer_id", F.coalesce("is_new", F.lit(False)).alias("is_new"), "items")
+
+
+_EDGES = """
+edges AS (
+  SELECT concat('n', CAST(n_nationkey AS STRING)) AS child, concat('r', CAST(n_regionkey AS STRING)) AS parent FROM nation
+  UNION ALL SELECT concat('s', CAST(s_suppkey AS STRING)), concat('n', CAST(s_nationkey AS STRING)) FROM supplier
+  UNION ALL SELECT concat('c', CAST(c_custkey AS STRING)), concat('n', CAST(c_nationkey AS STRING)) FROM customer
+  UNION ALL SELECT concat('o', CAST(o_orderkey AS STRING)), concat('c', CAST(o_custkey AS STRING)) FROM orders
+  UNION ALL SELECT concat('l', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)), concat('o', CAST(l_orderkey AS STRING)) FROM lineitem
+  UNION ALL SELECT concat('l', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)), concat('s', CAST(l_suppkey AS STRING)) FROM lineitem)"""
+
+
+@query("cascade_removal", f"""WITH RECURSIVE {_EDGES},
+gone(id) AS (SELECT 'r0' UNION SELECT child FROM edges JOIN gone ON parent = id),
+kinds AS (SELECT unnest(['r', 'n', 's', 'c', 'o', 'l']) AS kind)
+SELECT kind, count(DISTINCT id) AS removed FROM kinds LEFT JOIN gone ON left(id, 1) = kind GROUP BY 1""")
+def cascade_removal(spark, sf):
+    """Rows that go from every table when a region goes."""
+    t = lambda n: table(spark, sf, n)
+    tables = {
+        "r": t("region").select(F.col("r_regionkey").cast("string").alias("id")),
+        "n": t("nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_regionkey").cast("string").alias("region")),
+        "s": t("supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_nationkey").cast("string").alias("nation")),
+        "c": t("customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_nationkey").cast("string").alias("nation")),
+        "o": t("orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("customer")),
+        "l": t("lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.col("l_orderkey").cast("string").alias("order"),
+                                  F.col("l_suppkey").cast("string").alias("supplier")),
+    }
+    keys = [cascade.ForeignKey(*k) for k in (("n", "region", "r"), ("s", "nation", "n"), ("c", "nation", "n"), ("o", "customer", "c"), ("l", "order", "o"), ("l", "supplier", "s"))]
+    gone = cascade.closure(tables, keys, {"r": tables["r"].where("id = '0'")})
+    counts = None
+    for kind in tables:
+        n = gone[kind].agg(F.lit(kind).alias("kind"), F.count("*").alias("removed")) if kind in gone else spark.createDataFrame([(kind, 0)], "kind string, removed bigint")
+        counts = n if counts is None else counts.unionByName(n)
+    return counts
 
 
 @query("store_contains", """

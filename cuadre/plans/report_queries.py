@@ -290,6 +290,14 @@ def invoice_list(spark, sf):
     return reports.invoice_page(rows, view(spark, sf, "fx_vendors"), page=2, page_size=20)
 
 
+@query("invoice_list_deep", """
+SELECT p.*, v.name AS vendor_name, v.nit AS vendor_nit
+FROM (SELECT * FROM fx_invoices ORDER BY created_at, id LIMIT 5 OFFSET 4995) p LEFT JOIN fx_vendors v ON p.vendor_id = v.id""")
+def invoice_list_deep(spark, sf):
+    """Page 1,000 of all invoices, the oldest first."""
+    return reports.invoice_page(view(spark, sf, "fx_invoices"), view(spark, sf, "fx_vendors"), page=1000, page_size=5, sort_order="asc")
+
+
 @query("invoice_page_info", """
 SELECT count(*) AS total, 2 AS page, 20 AS page_size, CAST(ceil(count(*) / 20.0) AS BIGINT) AS pages
 FROM fx_invoices WHERE processing_status = 'processed'""")

@@ -11,7 +11,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 #: Queries that are compared with sequential versions elsewhere.
-UNCHECKED = {"file_listing", "store_backfill"}
+UNCHECKED = {"store_backfill"}
 
 
 @pytest.fixture(scope="module")
