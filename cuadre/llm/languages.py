@@ -108,46 +108,58 @@ class Model:
 def steady(scores: np.ndarray, penalty: float) -> int | None:
     """The language that is best for all words (word, language), if no switching path can be better; else None.
 
-    Against the language of the largest sum no other gains more than half a penalty over any run of words, so
-    ``m`` runs in other languages gain at most ``m / 2`` penalties and cost at least ``m - 1`` (``m`` with the language itself).
+    Against the language of the largest sum no other gains more than a penalty over any run of words, nor more than
+    half of one over the first or the last words. Runs in other languages, each of them gaining at most that, cost as
+    many penalties as there are runs if the language itself has a part in the path, and one less if it has none; then
+    the first and the last run gain at most one penalty together.
     """
     top = int(scores.sum(axis=0).argmax())
     gains = np.zeros((len(scores) + 1, scores.shape[1]))
     np.cumsum(scores - scores[:, top : top + 1], axis=0, out=gains[1:])
-    return top if (gains - np.minimum.accumulate(gains, axis=0)).max() <= penalty / 2 else None
+    if gains.max() > penalty / 2 or (gains[-1] - gains.min(axis=0)).max() > penalty / 2:
+        return None
+    return top if (gains - np.minimum.accumulate(gains, axis=0)).max() <= penalty else None
 
 
-def viterbi(steps: list[tuple[list[int], list[float]]], penalty: float) -> list[int]:
+def viterbi(runs: list[tuple[list[int], list[list[float]]]], penalty: float) -> list[int]:
     """The best language for each word: the sum of its words' scores less ``penalty`` for each switch is largest.
 
-    Ties stay in the language, then go to the first candidate.
+    ``runs``: words of equal candidates, with each word's scores of them. Ties stay in the language, then go to the
+    first candidate.
     """
-    best: dict[int, float] = {}
-    back: list[tuple[int, set[int] | None]] = []
-    for candidates, scores in steps:
-        if not best:
-            best = dict(zip(candidates, scores, strict=True))
-            back.append((-1, None))
-            continue
-        leader = max(best, key=best.__getitem__)
-        switched = best[leader] - penalty
-        now, moved = {}, None
-        for k, score in zip(candidates, scores, strict=True):
-            stay = best.get(k)
-            if stay is None or stay < switched:
-                stay = switched
-                moved = {k} if moved is None else moved | {k}
-            now[k] = stay + score
-        back.append((leader, moved))
-        best = now
+    at: list[int] = []
+    best: list[float] = []
+    back: list[tuple[int, list[bool] | None]] = []  # of a word: the leader before it, and who switched from it
+    for candidates, rows in runs:
+        place = {k: i for i, k in enumerate(at)}
+        before, best = best, [best[place[k]] if k in place else float("-inf") for k in candidates] if at else [0.0] * len(candidates)
+        leader = (at[before.index(max(before))], max(before)) if at else None
+        at = candidates
+        for row in rows:
+            if leader is None:
+                top = max(best)
+                leader = (candidates[best.index(top)], top)
+            switched = leader[1] - penalty
+            if min(best) < switched:
+                back.append((leader[0], [x < switched for x in best]))
+                best = [(x if x >= switched else switched) + s for x, s in zip(best, row, strict=True)]
+            else:
+                back.append((leader[0], None))
+                best = [x + s for x, s in zip(best, row, strict=True)]
+            leader = None
     if not back:
         return []
-    label = max(best, key=best.__getitem__)
-    out = [label]
-    for leader, moved in reversed(back[1:]):
-        if moved and label in moved:
-            label = leader
-        out.append(label)
+    label = at[best.index(max(best))]
+    out = []
+    n = len(back)
+    for candidates, rows in reversed(runs):
+        place = {k: i for i, k in enumerate(candidates)}
+        for _ in rows:
+            n -= 1
+            out.append(label)
+            before, moved = back[n]
+            if moved is not None and moved[place[label]]:
+                label = before
     return out[::-1]
 
 
@@ -187,8 +199,10 @@ class Labeller:
         if only is not None:
             end = self.find.search(text, text.rindex(words[-1])).end()
             return [(self.model.languages[only], self.find.search(text).start(), end, sum(map(len, words)))]
-        of = [self.model.candidates[s] for s in self.scripts[rows].tolist()]
-        labels = viterbi([(c, [row[k] for k in c]) for c, row in zip(of, self.scores[rows].tolist(), strict=True)], self.penalty)
+        scripts, scores = self.scripts[rows], self.scores[rows]
+        bounds = [0, *(np.flatnonzero(np.diff(scripts)) + 1).tolist(), len(words)]
+        runs = [(of, scores[a:b, of].tolist()) for a, b in zip(bounds, bounds[1:], strict=False) for of in [self.model.candidates[scripts[a]]]]
+        labels = viterbi(runs, self.penalty)
         out: list[tuple[str, int, int, int]] = []
         for k, m in zip(labels, self.find.finditer(text), strict=True):
             name, (a, b) = self.model.languages[k], m.span()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cuadre.llm import languages
 from tests.llm.conftest import SF
 
-SCORES = st.integers(1, 3).flatmap(lambda k: st.lists(st.lists(st.integers(-6, 0).map(float), min_size=k, max_size=k), min_size=1, max_size=6))
+SCORES = st.integers(1, 3).flatmap(lambda k: st.lists(st.lists(st.integers(-6, 0).map(float), min_size=k, max_size=k), min_size=1, max_size=7))
 
 
 def total(path, rows, penalty):
@@ -25,7 +25,9 @@ def test_viterbi_and_the_shortcut(rows, penalty, data):
     every = list(range(len(rows[0])))
     of = [sorted(data.draw(st.sets(st.sampled_from(every), min_size=1))) for _ in rows]
     best = max(total(p, rows, penalty) for p in itertools.product(*of))
-    got = languages.viterbi([(c, [r[k] for k in c]) for c, r in zip(of, rows)], penalty)
+    got = languages.viterbi([(c, [[r[k] for k in c]]) for c, r in zip(of, rows)], penalty)
+    if all(c == of[0] for c in of):
+        assert languages.viterbi([(of[0], [[r[k] for k in of[0]] for r in rows])], penalty) == got
     assert len(got) == len(rows) and all(k in c for k, c in zip(got, of)) and total(got, rows, penalty) == best
     masked = np.array([[x if k in c else languages.NEVER for k, x in enumerate(r)] for r, c in zip(rows, of)])
     only = languages.steady(masked, penalty)
