@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import sha256
@@ -29,8 +30,10 @@ from cuadre.llm.common import pylists, salted_lookup, whole_text, written
 #: U+180E counts as a space in some Unicode versions.
 _CUT = re.compile(r" (?<=[^\s᠎] )(?=[^\s᠎])")
 SPACE = "▁"
-#: Aligned chunks that a worker keeps, and the longest of them in characters.
+#: Aligned chunks that a worker keeps, in two generations of this size, and the longest of them in characters.
 CACHE, KEPT_CHARS = 200_000, 48
+#: Characters of texts that are aligned together.
+TOGETHER = 500_000
 #: Characters of a block of documents; a longer document is a block of its own.
 BLOCK_CHARS = 4_000_000
 #: An id pair is the A id times this plus the B id.
@@ -58,23 +61,30 @@ def groups(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int, int, in
     """Groups (a0, a1, b0, b1) of tokens between shared cuts, in order; ``ends``: byte offsets, the last ones equal."""
     out, todo = [], [(0, len(ends_a), 0, len(ends_b))] if ends_a else []
     while todo:
-        a0, a1, b0, b1 = todo.pop()
+        interval = a0, a1, b0, b1 = todo.pop()
         cut = shared_cut(ends_a, ends_b, a0, a1, b0, b1) if a1 - a0 > 1 and b1 - b0 > 1 else None
         if cut is None:
-            out.append((a0, a1, b0, b1))
+            out.append(interval)
         else:
-            todo.append((cut[0], a1, cut[1], b1))
-            todo.append((a0, cut[0], b0, cut[1]))
+            a, b = cut
+            todo.append((a, a1, b, b1))
+            todo.append((a0, a, b0, b))
     return out
 
 
-def links(ends_a: list[int], ends_b: list[int], group: tuple[int, int, int, int]) -> Iterator[tuple[int, int]]:
+def links(ends_a: list[int], ends_b: list[int], group: tuple[int, int, int, int]) -> list[tuple[int, int]]:
     """Pairs of tokens of a group whose byte ranges overlap."""
     i, a1, j, b1 = group
+    if i + 1 == a1:
+        return [(i, k) for k in range(j, b1)]
+    if j + 1 == b1:
+        return [(k, j) for k in range(i, a1)]
+    out = []
     while i < a1 and j < b1:
-        yield i, j
+        out.append((i, j))
         a, b = ends_a[i], ends_b[j]
         i, j = i + (a <= b), j + (b <= a)
+    return out
 
 
 class Aligner:
@@ -93,23 +103,37 @@ class Aligner:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.space = self.b.piece_to_id(SPACE)
         self.kept: dict[str, Chunk | None] = {}
+        self.older: dict[str, Chunk | None] = {}
+        self.text = [str(i) for i in range(max(len(self.bytes_a), len(pieces)))]
 
-    def _bytes_a(self) -> dict[int, bytes]:
+    def _bytes_a(self) -> list[bytes]:
         # the byte-level alphabet: printable Latin-1 stands for itself, other bytes follow from U+0100 on
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         byte = {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
-        return {i: bytes(byte[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in byte for c in t)}
+        vocab = self.a.get_vocab(with_added_tokens=False)
+        out = [b""] * (1 + max(vocab.values()))
+        for token, i in vocab.items():
+            out[i] = bytes(map(byte.__getitem__, token)) if all(c in byte for c in token) else b""
+        return out
 
     def _align(self, chunk: str, a: list[int], b: list[int]) -> Chunk | None:
         """(tokens of A, of B, groups, the groups as text, id pairs of the links), or None where bytes differ."""
         raw = (" " + chunk).encode()
-        token_a, token_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
+        token_a, token_b = [*map(self.bytes_a.__getitem__, a)], [*map(self.bytes_b.__getitem__, b)]
         if b"".join(token_a) != raw or b"".join(token_b) != raw:
             return None
         ends_a, ends_b = list(accumulate(map(len, token_a))), list(accumulate(map(len, token_b)))
         found = groups(ends_a, ends_b)
-        text = ";".join(f"{','.join(map(str, a[a0:a1]))}|{','.join(map(str, b[b0:b1]))}" for a0, a1, b0, b1 in found)
-        pairs = np.array([a[i] * PAIR + b[j] for g in found for i, j in links(ends_a, ends_b, g)], "<i8")
+        text_a, text_b = [*map(self.text.__getitem__, a)], [*map(self.text.__getitem__, b)]
+        text = ";".join([
+            f"{text_a[a0] if a1 - a0 == 1 else ','.join(text_a[a0:a1])}|{text_b[b0] if b1 - b0 == 1 else ','.join(text_b[b0:b1])}" for a0, a1, b0, b1 in found])
+        pairs = array("q")
+        for g in found:
+            a0, a1, b0, b1 = g
+            if a1 - a0 == b1 - b0 == 1:
+                pairs.append(a[a0] * PAIR + b[b0])
+            else:
+                pairs.extend([a[i] * PAIR + b[j] for i, j in links(ends_a, ends_b, g)])
         return len(a), len(b), len(found), text, pairs.tobytes()
 
     def learn(self, chunks: list[str]) -> dict[str, Chunk | None]:
@@ -118,26 +142,40 @@ class Aligner:
         b = self.b.encode(chunks, num_threads=1)
         return {c: self._align(c, x, y if c else [self.space]) for c, x, y in zip(chunks, a, b, strict=True)}
 
-    def align(self, texts: list[str]) -> Iterator[tuple[Chunk | None]]:
+    def align(self, texts: list[str]) -> Iterator[Chunk | None]:
         """The alignment of each text; None for one that is empty or whose bytes a tokenizer does not give back."""
+        some: list[str] = []
+        size = 0
+        for text in texts:
+            some.append(text)
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self._some(some)
+                some, size = [], 0
+        yield from self._some(some)
+
+    def _some(self, texts: list[str]) -> Iterator[Chunk | None]:
         cut = [_CUT.split(t) if t else [] for t in texts]
-        new = list(set().union(*cut).difference(self.kept))
-        found: dict[str, Chunk | None] = {}
-        for i in range(0, len(new), 2000):
-            found |= self.learn(new[i : i + 2000])
-        if len(self.kept) + len(found) > CACHE:
-            known = set().union(*cut).difference(found)
-            found |= {c: self.kept[c] for c in known}
-            self.kept = {}
-        get = lambda c: found[c] if c in found else self.kept[c]
+        wanted = set().union(*cut)
+        if len(self.kept) > CACHE:
+            self.older, self.kept = self.kept, {}
+        new = wanted.difference(self.kept)
+        again = new.intersection(self.older)
+        self.kept.update((c, self.older[c]) for c in again)
+        listed = list(new.difference(again))
+        for i in range(0, len(listed), 2000):
+            self.kept.update(self.learn(listed[i : i + 2000]))
+        get = self.kept.__getitem__
         for chunks in cut:
-            held = [get(c) for c in chunks]
+            held = [*map(get, chunks)]
             if not held or None in held:
                 yield None
             else:
                 a, b, n, text, pairs = zip(*held, strict=True)
                 yield sum(a), sum(b), sum(n), ";".join(text), b"".join(pairs)
-        self.kept.update(x for x in list(found.items())[: max(0, CACHE - len(self.kept))] if len(x[0]) <= KEPT_CHARS)
+        for c in listed:
+            if len(c) > KEPT_CHARS:
+                del self.kept[c]
 
 
 def default_tokenizers() -> tuple[str, str]:
