@@ -9,6 +9,8 @@ of the document; windows are counted along alignments. So a question is also fou
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cuadre.llm.common import whole_text, written
@@ -17,6 +19,8 @@ from cuadre.llm.common import whole_text, written
 WINDOW, SHORTEST = 8, 5
 #: Benchmark windows up to this number are broadcast; beyond it the join shuffles.
 BROADCAST_WINDOWS = 200_000
+#: Bits of the map of benchmark hashes that document hashes are tested against before they become rows.
+MAP_BITS = 1 << 21
 
 #: Marks of names, numbers and units: private-use characters before the value (fixed values).
 NAME, NUMBER, UNIT = "", "", ""
@@ -92,6 +96,28 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return out.filter("hash IS NOT NULL")
 
 
+def hash_map(wanted: DataFrame) -> list[int]:
+    """``MAP_BITS`` bits, 64 to a word, one set for each ``hash`` of ``wanted``; the driver gets no more than these words."""
+    bit = F.col("hash").bitwiseAND(F.lit(MAP_BITS - 1))
+    words = wanted.select(F.shiftrightunsigned(bit, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    bits = [0] * (MAP_BITS // 64)
+    for row in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
+        bits[row["word"]] = row["bits"]
+    return bits
+
+
+def possible(hashes: Column, bits: list[int]) -> Column:
+    """(place, hash) of the hashes whose bit is set. No hash of the map is lost; the join decides about the others."""
+    table = F.from_json(F.lit(json.dumps(bits)), "array<bigint>")
+
+    def place_of(h: Column, i: Column) -> Column:
+        bit = h.bitwiseAND(F.lit(MAP_BITS - 1))
+        return F.when(F.getbit(F.get(table, F.shiftrightunsigned(bit, 6).cast("int")), bit.bitwiseAND(F.lit(63)).cast("int")) == 1, i)
+
+    places = F.array_compact(F.transform(hashes, place_of))
+    return F.transform(places, lambda i: F.struct(i.alias("place"), F.get(hashes, i).alias("hash")))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row for each document and benchmark item found in it: ``key``, item_id, n_windows, n_slots, n_changed.
 
@@ -105,6 +131,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") ->
     wanted = written(benchmark_windows(benchmark), "benchmark-windows")
     widths = {r["width"]: r["n"] for r in wanted.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()}
     small = sum(widths.values()) <= BROADCAST_WINDOWS
+    bits = hash_map(wanted)
     words = docs.select(F.col(key).alias("key"), tokens(whole_text()).alias("words"))
     marked = F.exists("words", is_slot)
     shaped = words.withColumn("plain", F.when(marked, F.transform("words", value)).otherwise(F.col("words")))
@@ -116,7 +143,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") ->
         others = F.zip_with("templates", "hashes", lambda t, h: F.when(t != h, t))
         n = F.size("hashes")
         looked = F.when(F.size("templates") > 0, F.concat("hashes", others)).otherwise(F.col("hashes"))
-        placed = both.select("key", "words", n.alias("n"), F.posexplode_outer(looked).alias("place", "hash"))
+        both = both.select("key", "words", n.alias("n"), looked.alias("looked"))
+        placed = both.select("key", "words", "n", F.explode_outer(possible(F.col("looked"), bits)).alias("p")).select("key", "words", "n", "p.*")
         placed = placed.withColumn("place", F.when(F.col("place") < F.col("n"), F.col("place")).otherwise(F.col("place") - F.col("n"))).drop("n")
         if not small:  # the words of a window travel instead of the document's
             placed = placed.withColumn("words", F.slice("words", F.col("place") + 1, width)).withColumn("from", F.lit(1))
