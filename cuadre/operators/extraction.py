@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -76,11 +77,11 @@ def _off_total(total: str = "total") -> Column:
     return F.abs(F.col("items_sum") - F.col(total)) / F.nullif(F.col(total), F.lit(0.0)) > TOTAL_TOLERANCE
 
 
-def parse_extractions(df: DataFrame, column: str = "extraction") -> DataFrame:
+def parse_extractions(df: DataFrame, column: str = "extraction", columns: Iterable[str] | None = None) -> DataFrame:
     """Typed record columns, ``confidence`` after adjustment, and ``reject_reason``.
 
     ``reject_reason`` is null for a usable record and otherwise names the first
-    rule it fails.
+    rule it fails. With ``columns`` only these are made, and only what they need is parsed.
     """
     read = (
         df.withColumn("_r", F.from_json(column, TEXT_MAP))
@@ -130,7 +131,9 @@ def parse_extractions(df: DataFrame, column: str = "extraction") -> DataFrame:
         .when(~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)), "confidence_invalid")
     )
     found = [c for c in scored.columns if c not in (*df.columns, "_r", "_v", "_s")]
-    return once(scored, {**{c: F.col(c) for c in found}, "reject_reason": reason}, drop=("_r", "_v", "_s"))
+    made = {**{c: F.col(c) for c in found}, "reject_reason": reason}
+    chosen = made if columns is None else {c: made[c] for c in columns}
+    return once(scored.select(*df.columns, "_r", "_v", "_s", *found), chosen, drop=("_r", "_v", "_s", *found))
 
 
 def invoice_warnings(records: DataFrame) -> DataFrame:

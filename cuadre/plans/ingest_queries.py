@@ -162,15 +162,15 @@ scored AS (
     * (CASE WHEN off_total THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END) AS adjusted FROM records)"""
 
 
-def records(spark: SparkSession, sf: str) -> DataFrame:
-    return extraction.parse_extractions(extraction_json(spark, sf))
+def records(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    return extraction.parse_extractions(extraction_json(spark, sf), columns=columns or None)
 
 
 @query("extraction_parse", f"""WITH {RECORDS_SQL}
 SELECT file_id, vendor_name, nit, store, invoice_number, day AS invoice_date, nullif(subtotal, -1) AS subtotal, total,
        coalesce(confidence, 0.8) AS extracted_confidence FROM records""")
 def extraction_parse(spark, sf):
-    return records(spark, sf).select(
+    return records(spark, sf, "vendor", "store", "invoice_number", "invoice_date", "subtotal", "total", "extracted_confidence").select(
         "file_id", F.col("vendor.name").alias("vendor_name"), "vendor.nit", F.col("store.name").alias("store"),
         "invoice_number", "invoice_date", "subtotal", "total", "extracted_confidence")
 
@@ -179,18 +179,18 @@ def extraction_parse(spark, sf):
 SELECT r.file_id, g.product_name, g.sku, CAST(g.kept_quantity AS DOUBLE) AS quantity, g.unit_price, g.line_total
 FROM records r JOIN good_lines g ON r.invoice_id = g.invoice_id""")
 def item_salvage(spark, sf):
-    return records(spark, sf).select("file_id", F.explode("items").alias("i")).select("file_id", "i.*")
+    return records(spark, sf, "items").select("file_id", F.explode("items").alias("i")).select("file_id", "i.*")
 
 
 @query("extraction_reject", f"""WITH {RECORDS_SQL} SELECT file_id, n AS items, reject_reason FROM records""")
 def extraction_reject(spark, sf):
-    return records(spark, sf).select("file_id", F.size("items").cast("bigint").alias("items"), "reject_reason")
+    return records(spark, sf, "items", "reject_reason").select("file_id", F.size("items").cast("bigint").alias("items"), "reject_reason")
 
 
 @query("confidence_adjust", f"""WITH {RECORDS_SQL}
 SELECT file_id, round(items_sum, 2) AS items_sum, round(adjusted, 6) AS confidence FROM scored""")
 def confidence_adjust(spark, sf):
-    return records(spark, sf).select(
+    return records(spark, sf, "items_sum", "confidence").select(
         "file_id", F.round("items_sum", 2).alias("items_sum"), F.round("confidence", 6).alias("confidence"))
 
 
@@ -198,7 +198,7 @@ def confidence_adjust(spark, sf):
 SELECT file_id, concat_ws(';', CASE WHEN vendor_name = '' THEN 'Vendor sin nombre' END, CASE WHEN n = 0 THEN 'Factura sin items' END,
   CASE WHEN total <= 0 THEN 'Total inválido' END, CASE WHEN off_total THEN 'Suma items != Total' END) AS warnings FROM records""")
 def invoice_warnings(spark, sf):
-    return extraction.invoice_warnings(records(spark, sf)).select("file_id", F.array_join("warnings", ";").alias("warnings"))
+    return extraction.invoice_warnings(records(spark, sf, "vendor", "invoice_number", "items", "items_sum", "total")).select("file_id", F.array_join("warnings", ";").alias("warnings"))
 
 
 @query("invoice_validate", rf"""WITH {RECORDS_SQL}
@@ -207,7 +207,7 @@ SELECT file_id, errors, errors = '' AS is_valid FROM (
     CASE WHEN abs(date_diff('day', day, DATE '1998-06-30')) > 365 THEN 'Fecha de factura fuera de rango' END,
     CASE WHEN off_total THEN 'Discrepancia en total' END) AS errors FROM records WHERE reject_reason IS NULL) e""")
 def invoice_validate(spark, sf):
-    good = records(spark, sf).where(F.col("reject_reason").isNull())
+    good = records(spark, sf, "vendor", "invoice_date", "items_sum", "total", "reject_reason").where(F.col("reject_reason").isNull())
     return extraction.validate_records(good, date(1998, 6, 30)).select(
         "file_id", F.array_join("errors", ";").alias("errors"), "is_valid")
 
