@@ -6,11 +6,12 @@ from pyspark.sql import Column, functions as F
 
 from cuadre.functions.text import strip
 
-# One to three capitalized words.
+# The patterns of the three rules. A name is one to three capitalized words.
 _NAME = r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2}"
-_LEADING = rf"^({_NAME})"
-_IN_PARENS = rf"\(({_NAME})\)\s*$"
-_AFTER_DASH = rf"\s+-\s+({_NAME})\s*$"
+LEADING = rf"^({_NAME})"
+IN_PARENS = rf"\(({_NAME})\)\s*$"
+AFTER_DASH = rf"\s+-\s+({_NAME})\s*$"
+PARENS = r"\s*\([^)]+\)\s*$"
 
 # Words after a dash that describe the product, not its maker.
 DESCRIPTIVE_WORDS = ["frozen", "fresh", "organic", "whole", "sliced", "usa", "italy"]
@@ -33,12 +34,12 @@ def manufacturer_row(name: Column) -> Column:
     variable, so each of them is computed once.
     """
     segments = F.transform(F.split(name, r"\|"), lambda part, i: F.struct(i.alias("at"), strip(part).alias("text")))
-    hits = F.filter(segments, lambda segment: segment["text"].rlike(_LEADING))
+    hits = F.filter(segments, lambda segment: segment["text"].rlike(LEADING))
     matches = F.struct(
         strip(name).alias("stripped"),
         F.when(F.contains(name, F.lit("|")), F.try_element_at(hits, F.lit(-1))).alias("segment"),
-        F.nullif(F.regexp_extract(name, _IN_PARENS, 1), F.lit("")).alias("in_parens"),
-        F.nullif(F.regexp_extract(name, _AFTER_DASH, 1), F.lit("")).alias("after_dash"),
+        F.nullif(F.regexp_extract(name, IN_PARENS, 1), F.lit("")).alias("in_parens"),
+        F.nullif(F.regexp_extract(name, AFTER_DASH, 1), F.lit("")).alias("after_dash"),
     )
     return F.transform(F.array(matches), lambda found: _decide(name, found))
 
@@ -54,10 +55,10 @@ def _decide(name: Column, found: Column) -> Column:
     before = F.array_join(F.slice(F.split(name, r"\|"), F.lit(1), segment["at"]), "|")
     return (
         F.when(name.isNull() | (found["stripped"] == ""), row(nothing, name, nothing))
-        .when(segment.isNotNull(), row(F.regexp_extract(segment["text"], _LEADING, 1), strip(before), segment["text"]))
+        .when(segment.isNotNull(), row(F.regexp_extract(segment["text"], LEADING, 1), strip(before), segment["text"]))
         .when(in_parens.isNotNull(),
-              row(in_parens, strip(F.regexp_replace(name, r"\s*\([^)]+\)\s*$", "")), in_parens))
+              row(in_parens, strip(F.regexp_replace(name, PARENS, "")), in_parens))
         .when(after_dash.isNotNull() & ~F.lower(after_dash).isin(DESCRIPTIVE_WORDS),
-              row(after_dash, strip(F.regexp_replace(name, _AFTER_DASH, "")), after_dash))
+              row(after_dash, strip(F.regexp_replace(name, AFTER_DASH, "")), after_dash))
         .otherwise(row(nothing, found["stripped"], nothing))
     )

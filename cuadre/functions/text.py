@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Unicode white space plus the four ASCII separators.
-_SPACE = r"[\s\x1c-\x1f]"
+SPACE = r"[\s\x1c-\x1f]"
+NOT_KEPT = r"(?U)[^a-z0-9\s\x1c-\x1f]"
+NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
+EXTENSION = r"\.([^./]+)$"
+# The form of a tax number, the least text worth extracting.
+NIT = r"^\d{9,10}-\d$"
+MIN_CHARS = 10
 
 
 def strip(col: Column) -> Column:
     """Trim every kind of white space (``trim`` alone removes only blanks)."""
-    return F.regexp_replace(col, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    return F.regexp_replace(col, rf"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
 def once(df: DataFrame, columns: dict[str, Column], drop: tuple[str, ...] = ()) -> DataFrame:
@@ -28,8 +34,8 @@ def normalize_name(col: Column) -> Column:
 
     Accented letters and punctuation are deleted, not replaced.
     """
-    kept = F.regexp_replace(F.lower(col), r"(?U)[^a-z0-9\s\x1c-\x1f]", "")
-    return F.trim(F.regexp_replace(kept, rf"(?U){_SPACE}+", " "))
+    kept = F.regexp_replace(F.lower(col), NOT_KEPT, "")
+    return F.trim(F.regexp_replace(kept, rf"(?U){SPACE}+", " "))
 
 
 def effective_name(clean: Column, raw: Column) -> Column:
@@ -57,10 +63,10 @@ def date_parts(day: Column) -> dict[str, Column]:
 
 def nit_valid(nit: Column) -> Column:
     """Nine or ten digits, dash, one digit. The check digit is not verified."""
-    return F.coalesce(nit.rlike(r"^\d{9,10}-\d$"), F.lit(False))
+    return F.coalesce(nit.rlike(NIT), F.lit(False))
 
 
-def text_guard(text: Column, min_chars: int = 10) -> Column:
+def text_guard(text: Column, min_chars: int = MIN_CHARS) -> Column:
     """True when enough text is left after trimming to be worth extracting."""
     return F.coalesce(F.length(strip(text)) >= min_chars, F.lit(False))
 
@@ -92,7 +98,7 @@ MAX_FILE_BYTES = 10 * 1024 * 1024
 
 
 def file_extension(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    return F.lower(F.regexp_extract(path, EXTENSION, 1))
 
 
 def media_type(path: Column) -> Column:

@@ -7,11 +7,10 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cuadre.functions.text import nit_valid, once, text_guard
+from cuadre.functions.text import NUMBER, nit_valid, once, text_guard
 from cuadre.schemas import ITEM, TEXT_MAP, TEXT_MAPS
 
 TOTAL_TOLERANCE = 0.01
-_NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def _value(record: Column, key: str) -> Column:
@@ -33,7 +32,7 @@ def _text(record: Column, key: str) -> Column:
 
 
 def _number(text: Column) -> Column:
-    return F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
+    return F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))
 
 
 def _number_or(record: Column, key: str, missing: float) -> Column:
@@ -51,9 +50,9 @@ def salvage_items(items: Column) -> Column:
     """Typed items from an array of string maps.
 
     A missing quantity, price or total is 0 and a missing name is ``''``; an item
-    with an explicit null or a non-number there is dropped.
+    with an explicit null or a non-number there is dropped, as is one that is null itself.
     """
-    typed = F.transform(items, lambda i: F.struct(
+    typed = F.transform(F.filter(items, lambda i: i.isNotNull()), lambda i: F.struct(
         _text(i, "product_name").alias("product_name"),
         _value(i, "sku").alias("sku"),
         *[_number_or(i, n, 0.0).alias(n) for n in ("quantity", "unit_price", "line_total")],
@@ -61,8 +60,8 @@ def salvage_items(items: Column) -> Column:
     required = ("product_name", "quantity", "unit_price", "line_total")
 
     def usable(i: Column) -> Column:
-        ok = i.isNotNull()
-        for name in required:
+        ok = i[required[0]].isNotNull()
+        for name in required[1:]:
             ok = ok & i[name].isNotNull()
         return ok
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("report_queries", "ingest_queries", "matching_queries")
+MODULES = ("report_queries", "ingest_queries", "matching_queries", "sql_queries")
 
 
 def load_all() -> None:
