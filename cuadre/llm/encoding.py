@@ -11,6 +11,10 @@ SEPARATOR = "\x0b"
 #: A space between two non-spaces always starts a new word of the byte-level pattern, so the
 #: text may be cut there; U+180E counts as a space in some Unicode versions.
 _CUT = re.compile(r" (?<=[^\s᠎] )(?=[^\s᠎])")
+#: Words of the byte-level pattern within a piece, for the plainest characters: letters, digits, marks but the apostrophe
+#: (it begins contractions), a single line break. Runs of letters, digits and marks always end where the next kind begins.
+_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n")
+LINE = "\n"
 #: Bytes of an id in the streams.
 WIDTH = 4
 
@@ -37,6 +41,8 @@ class Encoder:
         #: Ids of " " + piece.
         self.cache: dict[str, bytes] = {}
         self.cache_pieces, self.piece_chars = cache_pieces, piece_chars
+        #: Ids of words within pieces, without a space.
+        self.later: dict[str, bytes] = {LINE: self._alone([LINE])[0]}
         mark = self._ids([SEPARATOR])[0]
         self.mark = mark[0] if len(mark) == 1 else None
 
@@ -46,17 +52,17 @@ class Encoder:
     def _alone(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(ids, "<u4").tobytes() for ids in self._ids(texts)]
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of " " + piece, many pieces in one call, apart by a separator.
+    def _many(self, pieces: list[str], lead: str) -> dict[str, bytes]:
+        """Ids of lead + piece, many pieces in one call, apart by a separator.
 
         The pieces neither begin nor end with white space, so the separator stays one token.
         """
         found: dict[str, bytes] = {}
         for i in range(0, len(pieces), 2000):
             group = pieces[i : i + 2000]
-            joined = " " + f"{SEPARATOR} ".join(group)
+            joined = lead + f"{SEPARATOR}{lead}".join(group)
             if self.mark is None or joined.count(SEPARATOR) != len(group) - 1:
-                found.update(zip(group, self._alone([" " + p for p in group]), strict=True))
+                found.update(zip(group, self._alone([lead + p for p in group]), strict=True))
                 continue
             flat = np.asarray(self._ids([joined])[0], "<u4")
             cuts = np.flatnonzero(flat == self.mark) * WIDTH
@@ -66,22 +72,60 @@ class Encoder:
             found.update(zip(group, [raw[a:b] for a, b in zip([0, *(cuts + WIDTH).tolist()], [*cuts.tolist(), len(raw)], strict=True)], strict=True))
         return found
 
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of " " + piece. A short piece of several words of the pattern is put together from theirs, which recur more often."""
+        apart: dict[str, list[str]] = {}
+        for p in pieces:
+            if not p.isalpha() and len(p) <= self.piece_chars:
+                words = _WORD.findall(p)
+                if len(words) > 1 and sum(map(len, words)) == len(p) and "\n\n" not in p:
+                    apart[p] = words
+        first = {words[0] for words in apart.values()}.difference(self.cache)
+        found = self._many(list(pieces.difference(apart) | first), " ")
+        new = set().union(*(words[1:] for words in apart.values())).difference(self.later)
+        if len(self.later) + len(new) > self.cache_pieces:
+            new |= set().union(*(words[1:] for words in apart.values())) - {LINE}
+            self.later = {LINE: self.later[LINE]}
+        self.later.update(self._many(list(new), ""))
+        later = self.later.__getitem__
+        for p, words in apart.items():
+            lead = found.get(words[0])
+            found[p] = b"".join((self.cache[words[0]] if lead is None else lead, *map(later, words[1:])))
+        return found
+
+    def _cut(self, texts: list[str]) -> tuple[list[list[str]], set[str]]:
+        """The pieces of each text between cuts, and those of them that are not kept.
+
+        Plain splitting at spaces gives them for texts without a piece that is empty, has white space at an end or holds U+180E.
+        """
+        cut = [t.split(" ") for t in texts]
+        new = set().union(*cut).difference(self.cache)
+        odd = {p for p in new if p.strip() != p or "\u180e" in p or not p}
+        if odd:
+            new -= odd
+            for i, pieces in enumerate(cut):
+                if not odd.isdisjoint(pieces):
+                    cut[i] = _CUT.split(texts[i])
+                    # the first and the last piece may have white space at an end
+                    new.update(set(cut[i][1:-1]).difference(self.cache))
+                    if len(cut[i]) > 1 and not (texts[i][-1].isspace() or texts[i][-1] == "\u180e") and cut[i][-1] not in self.cache:
+                        new.add(cut[i][-1])
+        return cut, new
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [_CUT.split(t) for t in texts]
+        cut, new = self._cut(texts)
         heads = self._alone([pieces[0] for pieces in cut])
         tails = {i: t for i, t in enumerate(texts) if len(cut[i]) > 1 and (t[-1].isspace() or t[-1] == "\u180e")}
         ends = dict(zip(tails, self._alone([" " + cut[i].pop() for i in tails]), strict=True))
         for pieces in cut:
             pieces[0] = ""
-        new = set().union(*cut).difference(self.cache)
-        new.discard("")
-        found = self._learn(list(new))
+        found = self._learn(new)
         if len(self.cache) + len(found) > self.cache_pieces:
             known = set().union(*cut).difference(found)
             found |= {p: self.cache[p] for p in known if p}
             self.cache = {}
-        if all(len(p) <= self.piece_chars for p in found) and len(found) <= self.cache_pieces:
+        if max(map(len, found), default=0) <= self.piece_chars and len(found) <= self.cache_pieces:
             self.cache.update(found)
             get = self.cache.__getitem__
         else:
