@@ -23,6 +23,8 @@ from cuadre.session import cut
 
 #: Number of a row of a batch, so that equal file ids and null ones stay apart.
 ROW = "_row_number"
+#: True for a record that is known to be the first of its invoice, where the caller has found that out.
+FIRST = "_first"
 
 
 def _one_per_key(df: DataFrame, key: Sequence[str], order: Column, last: bool = False) -> DataFrame:
@@ -178,9 +180,12 @@ def check_batch(batch: DataFrame) -> DataFrame:
 
 
 def load_parsed(
-    parsed: DataFrame, vendors: DataFrame, stores: DataFrame, invoices: DataFrame, manufacturers: DataFrame | None = None
+    parsed: DataFrame, vendors: DataFrame, stores: DataFrame, invoices: DataFrame | None, manufacturers: DataFrame | None = None
 ) -> Ingested:
-    """:func:`ingest` from checked records."""
+    """:func:`ingest` from checked records.
+
+    With a column ``FIRST`` in them, it says which records load their invoice, and ``invoices`` is not read.
+    """
     if ROW not in parsed.columns:
         parsed = cut(parsed.withColumn(ROW, F.monotonically_increasing_id()))
     arrival = [F.col("received_at").isNull(), F.col("received_at")] if "received_at" in parsed.columns else []
@@ -191,9 +196,13 @@ def load_parsed(
     created = new_rows(vendors, nits, ["nit"], F.col("_at")).drop("_at").withColumn("id", natural_id("nit"))
     known = vendors.select(F.col("id").alias("vendor_id"), "nit").unionByName(
         created.select(F.col("id").alias("vendor_id"), "nit"))
-    # one record of each (tax number, invoice number) before anything else is joined
-    reduced = _one_per_key(good.withColumn("nit", F.col("vendor.nit")), ["nit", "invoice_number"], F.col("_at"))
-    winners = new_rows(invoices, reduced.join(known, "nit"), ["vendor_id", "invoice_number"], F.col("_at"))
+    good = good.withColumn("nit", F.col("vendor.nit"))
+    if FIRST in parsed.columns:
+        winners = good.where(FIRST).drop(FIRST).join(known, "nit")
+    else:
+        # one record of each (tax number, invoice number) before anything else is joined
+        reduced = _one_per_key(good, ["nit", "invoice_number"], F.col("_at"))
+        winners = new_rows(invoices, reduced.join(known, "nit"), ["vendor_id", "invoice_number"], F.col("_at"))
     found = find_stores(winners.select(F.col("store.name").alias("name")), stores)
     placed = winners.withColumn("_store", F.col("store.name"))
     loaded = lookup(placed, found.select(F.col("name").alias("_store"), "store_id"), "_store", ROW).drop("_store")
