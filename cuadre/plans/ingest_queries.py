@@ -13,7 +13,7 @@ from cuadre.plans.registry import query
 from cuadre.plans.report_queries import MAKERS_SQL
 from cuadre.session import cut, scratch_path
 from cuadre.sources import catalog, files, prices
-from cuadre.streaming import ingest as streams
+from cuadre.streaming import ingest as streams, keyed
 
 # ---- files -----------------------------------------------------------------
 
@@ -520,6 +520,17 @@ def stream_ingest(spark, sf):
         "file_id", "reject_reason", F.round("confidence", 6).alias("confidence"), "status")
 
 
+@query("stream_ingest_keyed", _INGEST_SQL)
+def stream_ingest_keyed(spark, sf):
+    """The ingest as a stream that knows files and invoices by keyed state."""
+    source = streams.read_extractions(spark, _write_lines(spark, sf))
+    vendors, stores_, loaded = (cut(t) for t in _tables_before(spark, sf))
+    root, checkpoint = scratch_path(spark, "tables"), scratch_path(spark, "stream")
+    keyed.stream_ingest(source, root, checkpoint, stores_, vendors, loaded).awaitTermination()
+    return spark.read.parquet(f"{root}/status").select(
+        "file_id", "reject_reason", F.round("confidence", 6).alias("confidence"), "status")
+
+
 @query("stream_dedupe", "SELECT user_id, count(DISTINCT event_type) AS kinds FROM events GROUP BY 1")
 def stream_dedupe(spark, sf):
     """Every (user, event type) once, however often the stream carries it."""
