@@ -1,10 +1,12 @@
 import json
 from datetime import date
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from cuadre.operators import extraction, load
+from cuadre.session import work_dir
 
 SAMPLE = {
     "vendor": {"name": "DISTRIBUIDORA ABC S.A.S", "nit": "900111111-1", "address": "Calle 10", "phone": None},
@@ -139,6 +141,33 @@ def test_text_guard_and_source_columns(spark, tables):
     assert {r.file_id: r.reject_reason for r in out.status.collect()} == {"a": None, "b": "text_too_short", "c": "text_too_short"}
 
 
+def test_the_texts_are_not_kept(spark, tables):
+    """A load keeps on disk what its results need; the extraction texts it was parsed from are not part of that."""
+    kept = Path(work_dir(spark))
+    size = lambda: sum(f.stat().st_size for f in kept.rglob("*") if f.is_file())
+    batch = spark.range(200).select(
+        F.concat(F.lit("f"), "id").alias("file_id"),
+        F.concat(F.lit('{"note":"'), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(100)), lambda i: F.sha2(F.concat("id", F.lit("/"), i), 512)), ""),
+                 F.lit('",' + json.dumps(sample(invoice_number="N-"))[1:]), ).alias("extraction"))
+    batch = batch.withColumn("extraction", F.regexp_replace("extraction", '"N-"', F.concat(F.lit('"N-'), "file_id", F.lit('"')))).cache()
+    batch.count()
+    before = size()
+    out = load.ingest(batch, *tables)
+    assert out.invoices.count() == 200 and out.status.where("status = 'processed'").count() == 200
+    assert size() - before < 200 * 12800 / 4
+
+
+def test_vendors_that_share_a_tax_number(spark, tables):
+    """Known vendors of one tax number each get the invoice; one without an id keeps none; a vendor that is not known is made."""
+    vendors = spark.createDataFrame([("v1", "1"), ("v2", "1"), (None, "2")], "id string, nit string")
+    rows = [(f, json.dumps(sample(invoice_number=n, vendor={"name": f, "nit": t}))) for f, n, t in (("a", "A", "1"), ("b", "B", "2"), ("c", "C", "3"), ("d", "C", "3"))]
+    out = load.ingest(spark.createDataFrame(rows, "file_id string, extraction string"), vendors, *tables[1:])
+    made = [(r.nit, r.name, r.id) for r in out.vendors.collect()]
+    assert [m[:2] for m in made] == [("3", "c")]
+    assert sorted((r.source_file_id, str(r.vendor_id)) for r in out.invoices.collect()) == [("a", "v1"), ("a", "v2"), ("b", "None"), ("c", made[0][2])]
+    assert sorted(r.status for r in out.status.where("file_id <> 'd'").collect()) == ["processed"] * 4
+
+
 def test_arrival_decides(spark, tables):
     rows = [("a", "2024-01-02", sample(total=2.0)), ("b", "2024-01-01", sample(total=1.0)), ("0", None, sample(total=3.0))]
     batch = spark.createDataFrame([(i, t, json.dumps(r)) for i, t, r in rows], "file_id string, received_at string, extraction string").withColumn("received_at", F.col("received_at").cast("timestamp"))
