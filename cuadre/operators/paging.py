@@ -2,13 +2,16 @@
 
 Ranges of the sort key are counted and only the range that holds the page is looked at again, until it
 is small; then it is sorted. The driver sees a fixed number of range bounds and counts in each round, the
-range filter reaches the scan, and the last sort has at most about ``SMALL`` rows.
+range filter reaches the scan, and the last sort has at most about ``SMALL`` rows. The rows are made once
+and kept as Parquet for the rounds, whatever it takes to make them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cuadre.session import kept
+
 #: Ranges that one round counts, and rows of a range that are sorted at once.
 RANGES, SMALL = 64, 10_000
 
@@ -70,5 +73,5 @@ def seek_page(rows: DataFrame, page: int, page_size: int, sort_by: str, sort_ord
 
     Rows alike in both are taken in any order. A page beyond the end, or of an empty table, is empty.
     """
-    found, offset = page_range(rows, (page - 1) * page_size, page_size, sort_by, sort_order == "desc", row_id)
+    found, offset = page_range(kept(rows), (page - 1) * page_size, page_size, sort_by, sort_order == "desc", row_id)
     return found.offset(offset).limit(page_size)

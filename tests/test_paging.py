@@ -36,6 +36,21 @@ def test_pages_of_rows_alike_and_none(spark):
     assert paging.seek_page(alike.limit(0), 1, 10, "day").count() == 0
 
 
+def test_rows_of_a_page_are_made_once(spark, monkeypatch):
+    monkeypatch.setattr(paging, "RANGES", 4)
+    monkeypatch.setattr(paging.page_range, "__defaults__", ("id", 50))
+    made = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            made.add(len(frame))
+            yield frame
+
+    rows = spark.range(1000).selectExpr("concat('i', id) AS id", "CAST(id % 97 AS INT) AS day").mapInPandas(count, "id string, day int")
+    assert paging.seek_page(rows, 20, 10, "day", "asc").count() == 10
+    assert made.value == 1000
+
+
 def plain(tables, keys, removed):
     gone = {t: set(ids) for t, ids in removed.items()}
     while True:
