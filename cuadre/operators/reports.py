@@ -160,19 +160,21 @@ def report_filter(
 def filter_options(fact: DataFrame) -> DataFrame:
     """Pick-lists: (filter, position, option), plus the first and last date.
 
-    One pass over the rows and one aggregation: each row offers its values and the entry for
-    all, the map side keeps them distinct, and all dates share one group of their own.
+    One pass over the rows: each offers its values, which the map side keeps distinct by hash (a minimum
+    of texts would sort every offer). The entry for all, the first and the last date are told from those left.
     """
     names = ("distributor", "store", "status")
     offers = [F.struct(F.lit(n).alias("filter"), F.col(n).alias("option")) for n in (*names, "date")]
-    offers += [F.struct(F.lit(n).alias("filter"), F.lit(ALL).alias("option")) for n in names]
-    seen = fact.select(F.explode(F.array(*offers)).alias("o")).select("o.*").where(F.col("option").isNotNull())
-    listed = F.when(F.col("filter") != "date", F.col("option"))
-    found = seen.groupBy("filter", listed.alias("listed")).agg(F.min("option").alias("first"), F.max("option").alias("last"))
-    entry = lambda name, option: F.struct(name.alias("filter"), option.alias("option"))
-    entries = F.when(F.col("filter") != "date", F.array(entry(F.col("filter"), F.col("first")))).otherwise(
-        F.array(entry(F.lit("date_from"), F.col("first")), entry(F.lit("date_to"), F.col("last"))))
-    return found.select(F.explode_outer(entries).alias("e")).select("e.*").orderBy("filter", F.col("option") != ALL, "option")
+    seen = fact.select(F.explode(F.array(*offers)).alias("o")).select("o.*").distinct()
+    entry = lambda name, option: F.struct(F.lit(name).alias("filter"), option.alias("option"))
+    kinds = [F.when(F.col("filter") == n, F.array(entry(n, F.col("option")), entry(n, F.lit(ALL)))) for n in names]
+    dates = F.array(entry("date_from", F.col("option")), entry("date_to", F.col("option")))
+    listed = seen.select(F.explode(F.coalesce(*kinds, dates)).alias("e")).select("e.*").where(F.col("option").isNotNull())
+    span = ("date_from", "date_to")
+    found = listed.groupBy("filter", F.when(~F.col("filter").isin(*span), F.col("option")).alias("listed")).agg(
+        F.min("option").alias("first"), F.max("option").alias("last"))
+    return found.select("filter", F.when(F.col("filter") == "date_to", F.col("last")).otherwise(F.col("first")).alias("option")).orderBy(
+        "filter", F.col("option") != ALL, "option")
 
 
 def report_metrics(fact: DataFrame) -> DataFrame:

@@ -53,6 +53,19 @@ def test_fact_and_views(spark):
     assert ("date_from", "2024-12-30") in options
 
 
+def test_filter_options_sort_no_offers(spark):
+    rows = [("A", "S", "ok", "2024-01-02"), ("B", None, "ok", "2024-01-01"), ("A", "S", None, None)]
+    fact = spark.createDataFrame(rows, "distributor string, store string, status string, date string")
+    got = [(r.filter, r.option) for r in reports.filter_options(fact).collect()]
+    assert got == [("date_from", "2024-01-01"), ("date_to", "2024-01-02"), ("distributor", "Todos"), ("distributor", "A"), ("distributor", "B"),
+                   ("status", "Todos"), ("status", "ok"), ("store", "Todos"), ("store", "S")]
+    nothing = [(r.filter, r.option) for r in reports.filter_options(fact.select(*[F.lit(None).cast("string").alias(c) for c in fact.columns])).collect()]
+    assert nothing == [("distributor", "Todos"), ("status", "Todos"), ("store", "Todos")]
+    assert reports.filter_options(fact.limit(0)).count() == 0
+    plan = reports.filter_options(fact)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("SortAggregate") < plan.rindex("HashAggregate(keys=[filter")  # the rows meet a hash first
+
+
 def test_nested_keeps_long_invoices_whole(spark):
     vendors, stores, _, invoices, items = tables(spark)
     rows = {r.id: r["items"] for r in reports.invoice_nested(invoices, items, vendors, stores).collect()}
