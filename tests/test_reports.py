@@ -3,7 +3,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from cuadre.operators import audits, reports
+from cuadre.operators import audits, joins, reports
 from cuadre.sources import sinks
 
 
@@ -53,6 +53,47 @@ def test_fact_and_views(spark):
     assert ("date_from", "2024-12-30") in options
 
 
+def moved(df, column):
+    """Shuffles of the plan that carry ``column``."""
+    formatted = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    blocks = [b for b in formatted.split("\n\n") if ") Exchange" in b.split("\n")[0] and f"{column}#" in b.split("Input")[1].split("\n")[0]]
+    return len(blocks)
+
+
+def test_fact_moves_items_for_invoice_and_product_only(spark):
+    vendors, stores, products, invoices, items = tables(spark)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # the names are taken apart behind the joins; nothing wide meets vendors or stores
+        fact = reports.invoice_fact(items, invoices, vendors, stores, products)
+        assert moved(fact, "quantity") == 2 and moved(fact, "product_name_clean") == 0
+        given = reports.invoice_fact(reports.with_manufacturer(items), invoices, vendors, stores, products)
+        late = reports.invoice_fact(items, invoices, vendors, stores, products, to_filter=True)
+        assert sorted(map(str, fact.collect())) == sorted(map(str, given.collect())) == sorted(map(str, late.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_alerts_of_rows_are_alerts_of_the_report(spark):
+    given = tables(spark)
+    vendors, stores, products, invoices, items = given
+    agreed = spark.createDataFrame([("Vendor", "77", Decimal("1.00")), ("Vendor", "77", Decimal("3.00"))],
+                                   "distributor string, item_code string, agreed_price decimal(15,2)")
+    rows = reports.fact_rows(items, invoices, vendors, stores, products)
+    assert len(rows.columns) < 18
+    late = reports.fact_columns(reports.price_alerts(rows, agreed))
+    whole = reports.price_alerts(reports.invoice_fact(items, invoices, vendors, stores, products), agreed)
+    assert sorted(map(str, late.select(*whole.columns).collect())) == sorted(map(str, whole.collect())) and late.count() == 3
+
+
+def test_lookup_apart_equals_a_left_join(spark):
+    rows = spark.createDataFrame([(1, "p"), (2, None), (2, None), (3, "q"), (4, "zz")], "row int, key string")
+    dim = spark.createDataFrame([("p", "one"), ("q", "two"), ("q", "three"), (None, "never")], "key string, name string")
+    got = joins.lookup_apart(rows, dim, "key").select("row", "key", "name")
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(dim, "key", "left").select("row", "key", "name").collect()))
+
+
 def test_filter_options_sort_no_offers(spark):
     rows = [("A", "S", "ok", "2024-01-02"), ("B", None, "ok", "2024-01-01"), ("A", "S", None, None)]
     fact = spark.createDataFrame(rows, "distributor string, store string, status string, date string")
