@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cuadre.functions.manufacturer import manufacturer_row
 from cuadre.functions.text import text_guard
 from cuadre.operators.extraction import invoice_warnings, parse_extractions
-from cuadre.operators.joins import lookup
+from cuadre.operators.joins import lookup, lookup_hot
 from cuadre.operators.stores import find_stores
 from cuadre.schemas import natural_id
 from cuadre.session import kept
@@ -53,12 +53,19 @@ def get_or_create_vendors(vendors: DataFrame, batch: DataFrame, order: Column) -
 
 
 def get_or_create_manufacturers(manufacturers: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Manufacturers after the batch (exact name) and the items with ``manufacturer_id``."""
+    """Manufacturers after the batch (exact name) and the items with ``manufacturer_id``.
+
+    A new manufacturer's id is made from its name, so the items meet the known ones only and are not read for their names first.
+    """
     names = items.where(F.col("manufacturer_name").isNotNull()).select(F.col("manufacturer_name").alias("name")).distinct()
     created = names.join(manufacturers, "name", "left_anti").withColumn("id", natural_id("name"))
     dim = manufacturers.unionByName(created.select(*manufacturers.columns))
-    ids = dim.select(F.col("id").alias("manufacturer_id"), F.col("name").alias("manufacturer_name"))
-    return dim, items.join(ids, "manufacturer_name", "left")
+    kind = dim.schema["id"].dataType
+    ids = manufacturers.select(F.col("id").cast(kind).alias("_known_id"), F.col("name").alias("manufacturer_name"), F.lit(True).alias("_known"))
+    made = F.when(F.col("manufacturer_name").isNotNull(), natural_id("manufacturer_name").cast(kind))
+    mapped = lookup_hot(items, ids, "manufacturer_name").withColumn(
+        "manufacturer_id", F.when(F.col("_known"), F.col("_known_id")).otherwise(made))
+    return dim, mapped.drop("_known", "_known_id")
 
 
 def upsert_products(products: DataFrame, incoming: DataFrame, order: Column, as_of=None) -> DataFrame:

@@ -192,6 +192,35 @@ def test_manufacturers(spark):
     assert ids[1] == "m1" and ids[2] == ids[4] and ids[3] is None
 
 
+def test_manufacturers_of_one_name_are_spread_and_items_read_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            made.add(len(frame))
+            yield frame
+
+    # one name and null in nearly all rows; a known name that comes twice, once without id
+    dim = spark.createDataFrame([("m1", "Bindi"), ("m2", "Twice"), (None, "Twice"), ("m3", None)], "id string, name string")
+    names = "CASE WHEN id = 7 THEN 'Twice' WHEN id % 3 = 0 THEN 'Bindi' WHEN id % 3 = 1 THEN 'New' END"
+    items = spark.range(3000).selectExpr("id", f"{names} AS manufacturer_name").mapInPandas(count, "id long, manufacturer_name string")
+    _, mapped = load.get_or_create_manufacturers(dim, items)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = mapped.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert made.value == 3000 and len(rows) == 3001
+    by_name = {n: {r.manufacturer_id for r in rows if r.manufacturer_name == n} for n in ("Bindi", "New", "Twice", None)}
+    assert by_name["Bindi"] == {"m1"} and by_name["Twice"] == {"m2", None} and by_name[None] == {None}
+    assert len(by_name["New"]) == 1 and len(next(iter(by_name["New"]))) == 64
+    tasks = [r.task for r in rows]
+    assert max(map(tasks.count, set(tasks))) < 900
+
+
 def test_product_upsert(spark):
     products = spark.createDataFrame([("p1", "Old", "S1", "c", "u"), ("p2", "Same", "S2", "c", "u")],
                                      "id string, master_name string, master_sku string, category string, unit string")
