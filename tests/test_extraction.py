@@ -239,3 +239,37 @@ def test_corrections(spark):
     got = {r.id: r for r in load.apply_corrections(invoices, asked, ["total"], F.col("seen")).collect()}
     assert (got["a"].total, got["a"].validated, got["a"].validated_by) == (1.0, True, "bo")
     assert (got["b"].total, got["b"].validated, got["b"].validated_by) == (2.0, False, None)
+
+
+ODD = [
+    '{"vendor":{"name":"x","nit":"1"},"total":1,"total":2,"items":[{"product_name":"a"}]}', '[{"total":3,"vendor":{"name":"x"}}]',
+    '{"items":[1,{"a":2}],"total":5}', '{"vendor":"{\\"name\\":\\"q\\"}","items":[null,{"quantity":"nan","line_total":1e2}],"total":NaN}',
+    '{"total":1} x', '{"total":1', '  {"total":1,"store":{}}', "{}", "[]", "null", "", '{"vendor":null}', '{"vendor":{"name":null,"nit":"3"},"store":[1]}',
+    '{"store":"x","items":"[{\\"product_name\\":\\"k\\"}]","vendor":{"name":"n","nit":"5","name":"m"},"confidence":null,"invoice_number":null}',
+    '{"items":[{"quantity":1,"quantity":2}],"total":0.10000000000000000001,"invoice_number":1e5,"Vendor":{"name":"c"}}',
+]
+
+
+def test_one_pass_reads_as_a_map_of_texts(parse):
+    """Each part read from its text in a map of the whole record, as the values are defined."""
+    def text(record, column):
+        return F.try_element_at(F.from_json(record, extraction.TEXT_MAP), F.lit(column))
+
+    rows = parse(*ODD).select(
+        "*", F.from_json("extraction", extraction.TEXT_MAP).alias("_all"),
+        F.from_json(text("extraction", "vendor"), extraction.TEXT_MAP).alias("_v"),
+        F.coalesce(F.size(F.filter(F.from_json(text("extraction", "items"), extraction.TEXT_MAPS), lambda i: F.lit(True))), F.lit(0)).alias("_n")).collect()
+    for row in rows:
+        whole = row["_all"] or {}
+        vendor = row["_v"] or {}
+        assert (row.reject_reason == "malformed") == (not whole), row.extraction
+        assert row.items_found == max(row["_n"], 0), row.extraction
+        assert row.vendor.nit == (vendor["nit"] if "nit" in vendor else ""), row.extraction
+        assert row.invoice_number == (whole["invoice_number"] if "invoice_number" in whole else ""), row.extraction
+    assert [rows[0].total, rows[1].reject_reason, rows[3].vendor.name] == [1.0, "malformed", "q"]
+
+
+def test_a_record_is_read_in_one_pass(parse):
+    """Vendor, store and items come from one typed read; texts read once more are those that need it."""
+    plan = parse(SAMPLE)._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json(StructField(invoice_number,StringType,true)" in plan and "StructField(items,ArrayType(MapType" in plan
