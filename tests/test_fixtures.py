@@ -31,3 +31,21 @@ def test_invoice_sums_meet_orders_without_another_shuffle(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert plan.count("Exchange hashpartitioning") == 4  # lines and parts, lines by order, orders
+
+
+def test_records_read_their_lines_once(spark, tmp_path):
+    tables = {
+        "lineitem": """SELECT 1L AS l_orderkey, 1L AS l_suppkey, n AS l_linenumber, 5L AS l_partkey, 2.0D AS l_quantity, n * 1.5D AS l_extendedprice,
+            'x' AS l_shipdate, 0D AS l_discount, 0D AS l_tax, 'N' AS l_returnflag, 'O' AS l_linestatus FROM VALUES (2L), (1L), (1L) t(n)""",
+        "part": "SELECT 5L AS p_partkey, 'bolt' AS p_name",
+        "orders": "SELECT 1L AS o_orderkey, 3L AS o_custkey, '2024-01-01' AS o_orderdate, 'O' AS o_orderstatus",
+        "supplier": "SELECT 1L AS s_suppkey, 'sup' AS s_name", "customer": "SELECT 3L AS c_custkey, 'cust' AS c_name, 7L AS c_nationkey",
+        "nation": "SELECT 7L AS n_nationkey, 'land' AS n_name"}
+    for name, sql in tables.items():
+        spark.sql(sql).write.parquet(str(tmp_path / f"{name}.parquet"))
+    records = fixtures.extraction_json(spark, str(tmp_path))
+    rows = sorted(records.collect())
+    assert [r.file_id for r in rows] == ["a-1-1", "b-1-1"] and rows[0].extraction == rows[1].extraction
+    assert rows[0].extraction.count('"line_total":1.5') == 2 and '"line_total":3.0}],"subtotal":6.0' in rows[0].extraction
+    plan = records._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey#") and plan.count("Relation [") == 6  # each table once
