@@ -6,6 +6,8 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SEPARATOR = "\x0b"
 #: A space between two non-spaces always starts a new word of the byte-level pattern, so the
@@ -15,6 +17,8 @@ _CUT = re.compile(r" (?<=[^\s᠎] )(?=[^\s᠎])")
 #: (it begins contractions), a single line break. Runs of letters, digits and marks always end where the next kind begins.
 _WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n")
 LINE = "\n"
+#: The marks of that pattern, and those of them that begin no contraction.
+MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'")
 #: Bytes of an id in the streams.
 WIDTH = 4
 
@@ -29,7 +33,8 @@ class Encoder:
     """Encodes texts like ``encode_batch(texts, add_special_tokens=False)`` of the library.
 
     Special-token strings in a text count as ordinary text. The pieces between cuts are
-    encoded once and kept: at most ``cache_pieces`` pieces of at most ``piece_chars`` characters.
+    encoded once and kept, in two generations of together ``cache_pieces`` pieces (and those of one call) of at most
+    ``piece_chars`` characters: when the younger is full it becomes the older, whose pieces go unless they are used again.
     """
 
     def __init__(self, path: str, cache_pieces: int = 1_000_000, piece_chars: int = 48):
@@ -40,6 +45,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         #: Ids of " " + piece.
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cache_pieces, self.piece_chars = cache_pieces, piece_chars
         #: Ids of words within pieces, without a space.
         self.later: dict[str, bytes] = {LINE: self._alone([LINE])[0]}
@@ -72,71 +78,104 @@ class Encoder:
             found.update(zip(group, [raw[a:b] for a, b in zip([0, *(cuts + WIDTH).tolist()], [*cuts.tolist(), len(raw)], strict=True)], strict=True))
         return found
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of " " + piece. A short piece of several words of the pattern is put together from theirs, which recur more often."""
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """Ids of " " + piece, of distinct pieces. A short piece of several words of the pattern is put together from theirs, which recur more often."""
         apart: dict[str, list[str]] = {}
+        whole = []
         for p in pieces:
-            if not p.isalpha() and len(p) <= self.piece_chars:
-                words = _WORD.findall(p)
-                if len(words) > 1 and sum(map(len, words)) == len(p) and "\n\n" not in p:
-                    apart[p] = words
-        first = {words[0] for words in apart.values()}.difference(self.cache)
-        found = self._many(list(pieces.difference(apart) | first), " ")
-        new = set().union(*(words[1:] for words in apart.values())).difference(self.later)
+            if p.isalpha() or len(p) > self.piece_chars:
+                whole.append(p)
+                continue
+            word = p.rstrip(MARKS)
+            if word.isascii() and word.isalpha():
+                apart[p] = [word, p[len(word) :]]
+                continue
+            words = _WORD.findall(p)
+            if len(words) > 1 and sum(map(len, words)) == len(p) and "\n\n" not in p:
+                apart[p] = words
+            else:
+                whole.append(p)
+        first = {words[0] for words in apart.values()}.difference(self.cache, whole)
+        found = self._many([*whole, *first], " ")
+        new = {w for words in apart.values() for w in words[1:]}.difference(self.later)
         if len(self.later) + len(new) > self.cache_pieces:
-            new |= set().union(*(words[1:] for words in apart.values())) - {LINE}
+            new = {w for words in apart.values() for w in words[1:]} - {LINE}
             self.later = {LINE: self.later[LINE]}
         self.later.update(self._many(list(new), ""))
         later = self.later.__getitem__
         for p, words in apart.items():
             lead = found.get(words[0])
             found[p] = b"".join((self.cache[words[0]] if lead is None else lead, *map(later, words[1:])))
-        return found
+        # as the cache is met, words that began a piece are kept too
+        for p in first:
+            self.cache[p] = found[p]
+        return [*map(found.__getitem__, pieces)]
+
+    def _lookup(self, pieces: list[str], held: list[bytes | None]) -> list[bytes]:
+        """Ids of " " + piece, of distinct pieces between cuts; ``held``: what the cache has of them."""
+        missed = [k for k, ids in enumerate(held) if ids is None]
+        new = []
+        for k in missed:
+            p = pieces[k]
+            ids = held[k] = self.older.get(p)
+            if ids is None:
+                new.append(k)
+            else:
+                self.cache[p] = ids
+        for k, ids in zip(new, self._learn([pieces[k] for k in new]), strict=True):
+            held[k] = ids
+            if len(pieces[k]) <= self.piece_chars:
+                self.cache[pieces[k]] = ids
+        return held
 
-    def _cut(self, texts: list[str]) -> tuple[list[list[str]], set[str]]:
-        """The pieces of each text between cuts, and those of them that are not kept.
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers.
 
-        Plain splitting at spaces gives them for texts without a piece that is empty, has white space at an end or holds U+180E.
+        Plain splitting at spaces gives the pieces of texts without a piece that is empty, has white space at an end or holds
+        U+180E; Arrow numbers these pieces, so a piece is looked up once for all texts and its ids are laid out by number.
         """
-        cut = [t.split(" ") for t in texts]
-        new = set().union(*cut).difference(self.cache)
-        odd = {p for p in new if p.strip() != p or "\u180e" in p or not p}
-        if odd:
-            new -= odd
-            for i, pieces in enumerate(cut):
-                if not odd.isdisjoint(pieces):
-                    cut[i] = _CUT.split(texts[i])
-                    # the first and the last piece may have white space at an end
-                    new.update(set(cut[i][1:-1]).difference(self.cache))
-                    if len(cut[i]) > 1 and not (texts[i][-1].isspace() or texts[i][-1] == "\u180e") and cut[i][-1] not in self.cache:
-                        new.add(cut[i][-1])
-        return cut, new
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut, new = self._cut(texts)
-        heads = self._alone([pieces[0] for pieces in cut])
-        tails = {i: t for i, t in enumerate(texts) if len(cut[i]) > 1 and (t[-1].isspace() or t[-1] == "\u180e")}
-        ends = dict(zip(tails, self._alone([" " + cut[i].pop() for i in tails]), strict=True))
-        for pieces in cut:
-            pieces[0] = ""
-        found = self._learn(new)
-        if len(self.cache) + len(found) > self.cache_pieces:
-            known = set().union(*cut).difference(found)
-            found |= {p: self.cache[p] for p in known if p}
-            self.cache = {}
-        if max(map(len, found), default=0) <= self.piece_chars and len(found) <= self.cache_pieces:
-            self.cache.update(found)
-            get = self.cache.__getitem__
-        else:
-            found |= {p: self.cache[p] for p in set().union(*cut).difference(found) if p}
-            self.cache.update(x for x in list(found.items())[: self.cache_pieces - len(self.cache)] if len(x[0]) <= self.piece_chars)
-            get = found.__getitem__
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        numbered = lists.values.dictionary_encode()
+        number, bounds = numbered.indices.to_numpy(), lists.offsets.to_numpy()
+        words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if 2 * len(self.cache) > self.cache_pieces:
+            self.older, self.cache = self.cache, {}
+        kept = [*map(self.cache.get, words)]
+        # what is kept was between cuts, so it is none of those
+        odd = [k for k, ids in enumerate(kept) if ids is None and ((p := words[k]).strip() != p or not p or "\u180e" in p)]
+        is_odd = np.zeros(len(words), bool)
+        is_odd[odd] = True
+        apart = {i: _CUT.split(texts[i]) for i in set((np.searchsorted(bounds, np.flatnonzero(is_odd[number]), "right") - 1).tolist())}
+        heads = self._alone([apart[i][0] if i in apart else words[number[bounds[i]]] for i in range(len(texts))])
+        # the last piece of a text may have white space at its end
+        tails = [i for i in apart if len(apart[i]) > 1 and (texts[i][-1].isspace() or texts[i][-1] == "\u180e")]
+        ends = dict(zip(tails, self._alone([" " + apart[i].pop() for i in tails]), strict=True))
+        # the first piece has no space before it
+        later = np.ones(len(number), bool)
+        later[bounds[:-1]] = False
+        for i in apart:
+            later[bounds[i] : bounds[i + 1]] = False
+        is_asked = np.zeros(len(words), bool)
+        is_asked[number[later]] = True
+        asked = np.flatnonzero(is_asked).tolist()
+        held = self._lookup([words[k] for k in asked], [kept[k] for k in asked])
+        more = list(set().union(*(cut[1:] for cut in apart.values())))
+        known = dict(zip(more, self._lookup(more, [*map(self.cache.get, more)]), strict=True))
+        size = np.zeros(len(words), np.int64)
+        size[asked] = np.fromiter(map(len, held), np.int64, len(asked)) // WIDTH
+        place = np.cumsum(size) - size
+        sizes = np.where(later, size[number], 0)
+        after = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(place[number] - after[:-1], sizes)
+        at += np.arange(len(at))
+        raw = np.frombuffer(b"".join(held), "<u4")[at].tobytes()
+        ids = (after[bounds] * WIDTH).tolist()
         out = []
-        for i, pieces in enumerate(cut):
-            rest = iter(pieces)
-            next(rest)
-            out.append(b"".join((heads[i], *map(get, rest), ends.get(i, b""))))
+        for i, head in enumerate(heads):
+            if i in apart:
+                out.append(b"".join((head, *(known[p] for p in apart[i][1:]), ends.get(i, b""))))
+            else:
+                out.append(head + raw[ids[i] : ids[i + 1]])
         return out
 
 

@@ -64,7 +64,7 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             widest = np.maximum(widest[: len(widest) - more], widest[more:]) if len(widest) > more else widest[:0]
             size += more
         choice[: len(widest)][widest <= width] = s
-    step = np.array([*COUNTS, ZEROS, 1], np.int64)[choice].tolist()
+    step = np.array([*COUNTS, ZEROS, 1], np.uint8)[choice].tobytes()
     starts = []
     at = 0
     while at < n:

@@ -33,6 +33,18 @@ def test_encoder_equals_library(plain, encoders, texts):
         assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [plain(t) for t in texts]
 
 
+def test_encoder_keeps_pieces_that_are_used_again(plain, monkeypatch):
+    encoder = Encoder(default_tokenizer(), cache_pieces=100)
+    asked = []
+    many = encoder._many
+    monkeypatch.setattr(encoder, "_many", lambda pieces, lead: asked.extend(pieces) or many(pieces, lead))
+    for k in range(60):
+        text = " ".join(["a", *(["again"] if k % 2 else []), *(f"x{'abcdefghij'[i]}q{k}" for i in range(10))])
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == plain(text)
+    assert asked.count("again") == 1
+    assert len(encoder.cache) + len(encoder.older) < 200
+
+
 def greedy(values):
     """Selectors by trying each in turn."""
     at, out = 0, []
