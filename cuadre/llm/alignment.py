@@ -31,7 +31,7 @@ from cuadre.llm.common import pylists, salted_lookup, whole_text, written
 _CUT = re.compile(r" (?<=[^\s᠎] )(?=[^\s᠎])")
 SPACE = "▁"
 #: Aligned chunks that a worker keeps, in two generations of this size, and the longest of them in characters.
-CACHE, KEPT_CHARS = 200_000, 48
+CACHE, KEPT_CHARS = 300_000, 48
 #: Characters of texts that are aligned together.
 TOGETHER = 500_000
 #: Characters of a block of documents; a longer document is a block of its own.
@@ -155,8 +155,13 @@ class Aligner:
         yield from self._some(some)
 
     def _some(self, texts: list[str]) -> Iterator[Chunk | None]:
-        cut = [_CUT.split(t) if t else [] for t in texts]
+        # plain splitting does but for a chunk that is empty, has white space at an end or holds U+180E
+        cut = [t.split(" ") if t else [] for t in texts]
         wanted = set().union(*cut)
+        odd = {c for c in wanted if c.strip() != c or not c or "\u180e" in c}
+        if odd:
+            cut = [chunks if odd.isdisjoint(chunks) else _CUT.split(t) for t, chunks in zip(texts, cut, strict=True)]
+            wanted = set().union(*cut)
         if len(self.kept) > CACHE:
             self.older, self.kept = self.kept, {}
         new = wanted.difference(self.kept)

@@ -142,3 +142,10 @@ def test_kept_chunks_do_not_change_results(monkeypatch):
     monkeypatch.setattr(alignment, "CACHE", 2)
     small = alignment.Aligner(*PATHS)
     assert [next(small.align([t])) for t in texts] == whole and list(small.align(texts)) == whole and all(len(c) <= alignment.KEPT_CHARS for c in {*small.kept, *small.older})
+
+
+def test_a_kept_first_chunk_with_white_space_cuts_no_other_text():
+    texts = ["\tab c", "x \tab y", "x  ab y", "\u180eab c", "x \u180eab y", "ab\n", "x ab\n y"]
+    together = alignment.Aligner(*PATHS)
+    for text in texts:
+        assert list(together.align([text])) == list(alignment.Aligner(*PATHS).align([text]))
