@@ -58,10 +58,11 @@ def salted_lookup(left: DataFrame, right: DataFrame, key: str, salt_by: Column,
     """Left join on ``key`` where one key may hold a large share of ``left``.
 
     ``right`` has one row for each key; it is repeated once for each salt, so the rows of a
-    hot key spread over ``salts`` tasks.
+    hot key spread over ``salts`` tasks. Spark counts the copies as one when it estimates sizes, so
+    they are never left to it to broadcast through the driver.
     """
     salt = "_salt"
-    spread = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     return left.withColumn(salt, F.pmod(salt_by, F.lit(salts)).cast("int")).join(spread, [key, salt], "left").drop(salt)
 
 

@@ -124,8 +124,9 @@ def neighbours(words: DataFrame) -> DataFrame:
     """
     forward = number_trie(words)
     backward = number_trie(words.select(F.reverse("word").alias("word"), "n"))
+    # tables of all words go by merge joins: their files are several times smaller than what a broadcast would bring to the driver
     numbered = written(
-        forward.withColumnRenamed("nodes", "prefixes").join(backward.select(F.reverse("word").alias("word"), F.col("nodes").alias("suffixes")), "word"), "trie-words")
+        forward.withColumnRenamed("nodes", "prefixes").join(backward.select(F.reverse("word").alias("word"), F.col("nodes").alias("suffixes")).hint("merge"), "word"), "trie-words")
     member = F.struct("kind", "n", "back")
     held = _pairs(numbered).groupBy("prefix", "suffix").agg(F.collect_list(member).alias("held")).filter(F.size("held") > 1)
     rank = lambda m: F.struct(m["n"].alias("n"), m["back"].alias("back"))
@@ -142,7 +143,7 @@ def neighbours(words: DataFrame) -> DataFrame:
     cutting = F.transform("cut", lambda m: F.struct(m["back"].alias("back"), F.size("firsts").alias("near"), F.array_max("firsts").alias("best")))
     near = parts.select(F.inline(F.concat(skipping, cutting))).filter("near > 0")
     near = near.groupBy("back").agg(F.sum("near").alias("n_near"), F.max("best").alias("best"))
-    found = numbered.select("word", "n", "place").join(near.withColumn("place", -F.col("back")).drop("back"), "place", "left")
+    found = numbered.select("word", "n", "place").join(near.withColumn("place", -F.col("back")).drop("back").hint("merge"), "place", "left")
     return found.select("word", "n", "place", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "best")
 
 
@@ -165,7 +166,7 @@ def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     """
     found = written(neighbours(words).withColumn("to", F.when(F.col("best.n") >= ratio * F.col("n"), -F.col("best.back"))), "neighbours")
     end = roots(found.filter("to IS NOT NULL").select("place", "to")).withColumnRenamed("to", "end")
-    joined = found.join(end, "place", "left")
+    joined = found.join(end.hint("merge"), "place", "left")
     names = found.select(F.col("place").alias("to"), F.col("word").alias("form"), F.col("n").alias("form_n"))
     joined = salted_lookup(joined, names, "to", F.hash("place"))
     names = found.select(F.col("place").alias("end"), F.col("word").alias("root"))

@@ -9,6 +9,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from cuadre.llm import spelling
+from cuadre.llm.common import salted_lookup
 
 COLUMNS = ("word", "form", "root", "n", "n_near", "form_n")
 
@@ -117,3 +118,14 @@ def test_numbers_over_ranges(words, at):
 def test_clashing_columns(documents):
     df = documents.limit(50)
     assert rows_of(spelling.spelling(df.withColumns({"word": F.lit("x"), "n": F.lit(1), "id": F.lit(2)}))) == rows_of(spelling.spelling(df))
+
+
+def test_word_tables_are_not_broadcast(spark):
+    """Spark sizes copies made by explode as one row and words by their files; neither may go through the driver for that."""
+    words = spark.createDataFrame([(f"{a}{b}word", i + j) for i, a in enumerate("abcde") for j, b in enumerate("vwxyz")], "word string, n long")
+    left, right = words.withColumn("key", F.length("word") - 6), spark.createDataFrame([(0, "x")], "key int, name string")
+    looked = salted_lookup(left, right, "key", F.hash("word"))
+    assert {r["name"] for r in looked.collect()} == {"x"} and looked.count() == 25
+    for df in (looked, spelling.neighbours(words)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
