@@ -90,6 +90,38 @@ def test_scoped_matches_stay_in_scope(spark):
     assert {(r["scope"], r["query"], r["match"]) for r in got} == {("v1", "gold bag", "gold bags"), ("v1", "gold bags", "gold bag")}
 
 
+@pytest.mark.parametrize("broadcast", [0, 100])
+def test_scoped_matches_equal_all_pairs(spark, monkeypatch, broadcast):
+    """Scopes of one and of many chunks, scopes that only one side has, and null scopes; few scopes or many."""
+    monkeypatch.setattr(fuzzy, "MAX_BROADCAST", broadcast)
+    monkeypatch.setattr(fuzzy, "CHUNK_ROWS", 7)
+    rng = random.Random(3)
+    queries = [("a", n) for n in random_names(rng, 20)] + [("b", n) for n in random_names(rng, 4)] + [("x", "gold bag"), (None, "gold bag")]
+    pool = [("a", n) for n in random_names(rng, 60)] + [("b", n) for n in random_names(rng, 6)] + [("y", "gold bag"), (None, "gold bag")]
+    frame = lambda rows: fuzzy.distinct_names(spark.createDataFrame(rows, "vendor string, name string").withColumn("norm", normalize_name(F.col("name"))), "vendor")
+    found = fuzzy.top_matches(frame(queries), frame(pool), 70, 3, scoped=True, include_self=False).collect()
+    expected = set()
+    for scope in "ab":
+        texts = {sequential.norm(p) for s, p in pool if s == scope}
+        for q in {sequential.norm(q) for s, q in queries if s == scope}:
+            best = sorted((-sequential.score(q, p), p) for p in texts if p != q)
+            expected |= {(scope, q, p, -s, i) for i, (s, p) in enumerate(best[:3], 1) if -s >= 70}
+    assert {(r["scope"], r["query"], r["match"], r["score"], r["rank"]) for r in found} == expected and len(found) == len(expected)
+
+
+def test_scoped_names_are_moved_once(spark):
+    """Names meet the tables of scopes and cells where they are, and each other by one shuffle of either side."""
+    rows = [(f"v{i % 3}", n) for i, n in enumerate(random_names(random.Random(2), 60))]
+    names = cut(fuzzy.distinct_names(spark.createDataFrame(rows, "vendor string, norm string"), "vendor"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = fuzzy.similar_pairs(names, names, 70, scoped=True)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 def test_no_cross_join_in_plan(spark):
     names = cut(names_frame(spark, random_names(random.Random(1), 50)))
     plan = fuzzy.similar_pairs(names, names, 80)._jdf.queryExecution().executedPlan().toString()
