@@ -1,5 +1,7 @@
 """The sums of the invoices that are written out for Spark, against their statement."""
 
+from datetime import datetime
+
 from cuadre.plans import fixtures
 
 
@@ -49,3 +51,35 @@ def test_records_read_their_lines_once(spark, tmp_path):
     assert rows[0].extraction.count('"line_total":1.5') == 2 and '"line_total":3.0}],"subtotal":6.0' in rows[0].extraction
     plan = records._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_orderkey#") and plan.count("Relation [") == 6  # each table once
+
+
+def _plain_lines(spark, lineitem, part):
+    lineitem.createOrReplaceTempView("lines_lineitem")
+    part.createOrReplaceTempView("lines_part")
+    return spark.sql(fixtures.VIEWS["fx_lines"].replace("FROM lineitem", "FROM lines_lineitem").replace("JOIN part", "JOIN lines_part"))
+
+
+def test_lines_by_order_equal_their_sql(spark):
+    """Lines that come twice, lines without a part or an order, and parts that come twice, also with another name or none."""
+    day = datetime(1996, 1, 2)
+    line = lambda o, p, s, n, q=2.0: (o, p, s, n, q, 10.0 * (q or 1), 0.0, 0.1, "N", "O", day)
+    rows = [line(1, 5, 7, 1), line(1, 5, 7, 1), line(1, 6, 7, 2), line(1, 99, 7, 3), line(1, 8, 7, 4), line(1, 9, 7, 5), line(2, 5, None, 1),
+            line(None, 6, 7, 1), line(2, None, 8, 1), line(2, 10, 8, 2), line(2, 9, 8, 3, None), line(None, None, None, None)]
+    lineitem = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                                     "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz")
+    part = spark.createDataFrame([(5, "five"), (6, "six"), (6, "six"), (8, None), (9, "nine"), (9, "ninth"), (10, "ten"), (None, "none")], "p_partkey long, p_name string")
+    got, expected = fixtures.lines_by_order(lineitem, part), _plain_lines(spark, lineitem, part)
+    assert got.columns == expected.columns
+    rows_of = lambda df: sorted(map(repr, df.collect()))
+    assert rows_of(got) == rows_of(expected) and len(rows_of(got)) == 13
+
+
+def test_extraction_lines_are_moved_twice_only(spark):
+    """For their parts and for their order; numbering, grouping by invoice and the heads need no other shuffle of them."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = fixtures.extraction_json(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("Exchange hashpartitioning(l_orderkey") == 1 and plan.count("Exchange hashpartitioning(l_partkey") == 1
